@@ -58,9 +58,9 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Byte start of each word, and for each text the index of its first word (one more entry at the end)."""
-    solid = ~SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -75,10 +75,19 @@ def _hash_piece(data: np.ndarray, starts: np.ndarray, tab: np.ndarray) -> np.nda
         return mix(sums * powers(_P_INV, len(data))[starts])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def byte_table(lower: bool = False, space: np.ndarray = SPACE, digits: bool = True) -> np.ndarray:
+    """A value for each byte; digits=False: all digits alike."""
+    tab = (_TAB_LOWER if lower else _TAB).copy()
+    if not digits:
+        tab[48:58] = tab[48]
+    tab[space] = 0
+    return tab
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, tab: np.ndarray | None = None, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, word range of each text (as in word_spans), byte start of each word."""
-    starts, ranges = word_spans(data, offsets)
-    tab = _TAB_LOWER if lower else _TAB
+    starts, ranges = word_spans(data, offsets, space)
+    tab = (_TAB_LOWER if lower else _TAB) if tab is None else tab
     if not len(starts):
         return np.zeros(0, U), ranges, starts
     if len(data) <= PIECE:
