@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.graph import components
@@ -22,23 +22,34 @@ DIRECT_PAIRS = 2_000_000
 STAR_ROUNDS = 4
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], direct_pairs: int = DIRECT_PAIRS) -> tuple[DataFrame, DataFrame]:
+def link(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible: Callable[[Column, Column], Column], direct_pairs: int = DIRECT_PAIRS
+) -> tuple[DataFrame, DataFrame]:
     """Verified links ``(a, b)`` and components ``(id, component)``.
 
-    ``members``: distinct ``(bucket, id)``.  ``verify`` takes pairs ``(a, b)`` with
-    ``a < b`` and returns those that hold.  Every pair that shares a bucket is
+    ``members``: distinct ``(bucket, id, size)``.  ``verify`` takes pairs ``(a, b)`` with
+    ``a < b`` and returns those that hold.  ``compatible`` tells from two sizes whether
+    a link is possible at all.  Every pair that shares a bucket is
     either verified or already within one component, so the components are
     exact with respect to the buckets.
+
+    Rounds: each member against the least of its buckets' leaders; then against
+    those of its other leaders that lie in another component; then, while many
+    cross-component pairs are left, against other members picked per bucket;
+    last, all cross-component pairs that share a bucket.
     """
     sized = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    first = members.join(sized, "bucket").select("bucket", "id", "leader")
-    first = cut(first)
-    star = first.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(verify(star))
+    rest = cut(members.join(sized, "bucket").select("bucket", "id", "leader"))
+    star = rest.where("id <> leader")
+    links = cut(verify(star.groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")))
+    own = components(links)
+    placed = _placed(star.select("leader", "id").distinct(), own, "leader", "id")
+    more = cut(verify(placed.where("c_leader <> c_id").select(F.col("leader").alias("a"), F.col("id").alias("b"))))
+    links = cut(links.union(more).distinct())
     own = components(links)
-    rest = first.select("bucket", "id")
+    rest = rest.select("bucket", "id")
     for round_no in range(STAR_ROUNDS + 1):
-        placed = rest.join(own, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        placed = _placed(rest, own, "id").withColumnRenamed("c_id", "component")
         parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
         mixed = parts.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("kk")).where("c > 1")
         rest = cut(placed.join(mixed.select("bucket", ((F.col("n") * F.col("n") - F.col("kk")) / 2).alias("pairs")), "bucket"))
@@ -52,11 +63,22 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], direct_pa
         links = cut(links.union(verify(star)).distinct())
         own = components(links)
         rest = rest.select("bucket", "id")
-    left = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
+    # each pair comes from the least bucket that its two members share, once
+    own_buckets = rest.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+    rest = cut(rest.join(own_buckets, "id").join(members.select("id", "size").distinct(), "id"))
+    left = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("buckets").alias("ba"), F.col("size").alias("na"))
+    right = rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("buckets").alias("bb"), F.col("size").alias("nb"))
+    once = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible(F.col("na"), F.col("nb")) & (F.array_min(F.array_intersect("ba", "bb")) == left["bucket"])
+    pairs = left.join(right, (left["bucket"] == right["bucket"]) & once).select("a", "b")
     more = cut(verify(pairs))
     if more.isEmpty():
         return links, own
     links = cut(links.union(more).distinct())
     return links, components(links)
+
+
+def _placed(rows: DataFrame, own: DataFrame, *ids: str) -> DataFrame:
+    """With the component of each id column as ``c_<column>``."""
+    for i in ids:
+        rows = rows.join(own.select(F.col("id").alias(i), F.col("component").alias(f"c_{i}")), i, "left").withColumn(f"c_{i}", F.coalesce(f"c_{i}", i))
+    return rows

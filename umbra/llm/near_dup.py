@@ -5,11 +5,14 @@ Documents are sets of distinct five-word shingles (A-Z lower-cased, words
 the "fast similarity sketching" of Dahlgaard, Knudsen and Thorup: in round i every
 shingle is thrown into a random bin with the value (i, hash); a bin keeps its least
 value; after the first t rounds each further round throws all shingles into one
-fixed bin, so every bin fills for every non-empty set.  Bands of three coordinates
-propose pairs, and full sets confirm them.
+fixed bin, so every bin fills for every non-empty set.  Bands of five coordinates
+propose pairs, the sketches drop those far below the threshold, and full sets confirm
+the rest.
 
 Recall: a pair at exactly the threshold 0.75 shares a given band with probability
-about 0.75**3, so all 32 bands miss it with probability about 2.4e-8.
+about 0.75**5, so all 48 bands miss it with probability about 2e-6 (5e-9 at 0.8).
+The sketch filter asks for half of the 240 coordinates, over eight standard
+deviations below the 180 expected at the threshold.
 
 Defined results: null or empty texts and texts without words have an empty set and
 link with nothing; rows without doc_id are never linked (component_id null, kept);
@@ -32,8 +35,10 @@ from umbra.llm.textio import chunks, cut, utf8
 from umbra.llm.wordhash import U, gram_starts, grams, mix, stream, word_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 32, 3
+BANDS, ROWS = 48, 5
 THRESHOLD = (75, 100)
+#: Up to so many doc_ids (8 bytes each) are broadcast to fetch texts; more go by a shuffle join.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int = SHINGLE) -> list[np.ndarray]:
@@ -104,8 +109,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        sets = [s.tobytes() for s in shingle_sets(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
+        sets = shingle_sets(batch)
+        low = [row.tobytes() for row in sketch(sets).astype(np.uint8)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(low, pa.binary())], names=["id", "set", "low"]
+        )
+
+
+@F.pandas_udf(T.BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    """At least half of the coordinates agree in their low byte."""
+    if not len(a):
+        return pd.Series([], dtype=bool)
+    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in (a, b))
+    return pd.Series((x == y).sum(axis=1) * 2 >= x.shape[1])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -113,15 +130,15 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     up, down = THRESHOLD
     out = np.zeros(len(a), bool)
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        if x is None or y is None or min(len(x), len(y)) * down < max(len(x), len(y)) * up:
+        if min(len(x), len(y)) * down < max(len(x), len(y)) * up:
             continue
         x, y = np.frombuffer(x, U), np.frombuffer(y, U)
         if len(y) > len(x):
             x, y = y, x
         at = np.searchsorted(x, y)
         at[at == len(x)] = 0
-        both = int((x[at] == y).sum()) if len(x) else 0
-        out[i] = both > 0 and down * both >= up * (len(x) + len(y) - both)
+        both = int((x[at] == y).sum())
+        out[i] = down * both >= up * (len(x) + len(y) - both)
     return pd.Series(out)
 
 
@@ -140,21 +157,26 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     sig = cut(signatures(docs))
     some = sig.where("doc_id is not null and n_shingles > 0")
-    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")).distinct()
-    # a row's set is read again only for documents that share a bucket
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = cut(members.join(shared, "bucket"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    banded = some.select(F.explode("bands").alias("bucket"), "doc_id", "s1", "n_shingles")
+    # only buckets with different sets go on, and of each set its representative
+    shared = banded.groupBy("bucket").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x < y").select("bucket")
+    members = banded.join(shared, "bucket").select("bucket", F.col("doc_id").alias("id"), F.col("n_shingles").alias("size")).distinct()
+    members = cut(members.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "id long, set binary"))
+    sets = cut(texts.mapInArrow(_sets, "id long, set binary, low binary"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").where(_similar("sa", "sb")).select("a", "b").distinct()
+        for udf, column in ((_near, "low"), (_similar, "set")):
+            a, b = (sets.select(F.col("id").alias(i), F.col(column).alias(f"of_{i}")) for i in "ab")
+            pairs = pairs.join(a, "a").join(b, "b").where(udf("of_a", "of_b")).select("a", "b").distinct()
+        return pairs
 
-    links, found = linkage.link(members, verify)
+    up, down = THRESHOLD
+    links, found = linkage.link(members, verify, lambda a, b: F.least(a, b) * down >= F.greatest(a, b) * up)
     # several classes can hold one doc_id (repeated rows), so a class goes with its rep and every doc_id with its classes
     ids = some.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"]).join(found.withColumnRenamed("id", "rep"), "rep", "left")
     ids = ids.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))

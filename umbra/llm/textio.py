@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    The cleaner follows the garbage collectors of both sides, which may not run for
+    long after a large exchange has been read for the last time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values and the offset of each (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
