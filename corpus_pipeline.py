@@ -1,22 +1,51 @@
-"""A corpus pipeline over ``documents``; see STAGES."""
+"""A corpus pipeline over ``documents``: quality rules, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of
+``documents``; the last adds ``copy``, the number of the copy from 1.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import near_dup
+from umbra.llm import decontam, line_dedup, mixing, near_dup, quality
 from umbra.llm.textio import table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are depleted of lines of their own go."""
+    return quality.keep_good(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of equal or near lines the first stays; documents of which nothing is left go."""
+    return line_dedup.without_repeats(docs)
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return near_dup.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate says."""
+    return mixing.mixed(docs)
+
+
 STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", dedup_lines),
     ("minhash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix_sources),
 ]
 
+#: The band join and the sketches have no counterpart in SQL; the tests compare stages with brute force.
 ORACLE_SQL = None
 
 
