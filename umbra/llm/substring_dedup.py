@@ -21,8 +21,9 @@ document too.
 
 Scale: the index aggregates with map-side combine (first in the workers, then as a
 partial aggregation), lookups are equi-joins that adaptive execution can split, and
-lists are per document.  The text is shuffled once, by doc_id, and that exchange is
-used by both the boundary check and the removal.
+lists are per document.  The text is shuffled by doc_id twice, for the boundary check
+and for the removal.  Lineage is cut between the steps, and the shuffle files of a
+finished step are released.
 
 Defined results: a null or blank text has no words; texts under ``WINDOW`` words keep
 all; rows without doc_id are neither removed from nor a source; rows that share a
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.textio import chunks, utf8
+from umbra.llm.textio import chunks, cut, release, utf8
 from umbra.llm.wordhash import U, grams, mix, powers, word_hashes
 
 WINDOW = 13
@@ -226,27 +227,45 @@ def factored(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     ``factors``: the parse's copied stretches, ``(start, words, source)`` in words;
     ``source``: the least doc_id that holds the stretch.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id is not null")
+    hits = cut(_block_hits(named, window, anchor))
+    release(spark)
+    lists = cut(_block_lists(hits))
+    del hits
+    windows = cut(_edge_windows(named, lists, window, anchor))
+    release(spark)
+    sources = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
+    copied = windows.join(sources.drop("last"), ["anchor", "win"]).where("first < doc_id")
+    single = copied.groupBy("doc_id").agg(F.collect_list(F.struct("win", "first")).alias("single"))
+    all_lists = lists.select("doc_id", "copied").join(single, "doc_id", "left").where("size(copied) > 0 or single is not null")
+    joined = docs.join(all_lists, "doc_id", "left").select(
+        "doc_id", "text", F.col("copied.block").alias("dup"), F.col("copied.first").alias("dup_from"), F.col("single.win").alias("win"), F.col("single.first").alias("win_from")
+    )
+    return joined.mapInArrow(_removals(window, anchor), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:int,words:int,source:long>>")
+
+
+def _block_hits(named: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Blocks at anchors that several documents share, where a smaller one may hold them: ``doc_id, anchor, block, lo, varied``."""
     index = named.mapInArrow(_index_rows(window, anchor, False), "anchor long, block long, lo long, hi long")
     index = index.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("block").alias("b0"), F.max("block").alias("b1"))
     shared = index.where("lo < hi").select("anchor", "lo", (F.col("b0") < F.col("b1")).alias("varied"))
     rows = named.mapInArrow(_index_rows(window, anchor, True), "anchor long, block long, doc_id long")
-    hits = rows.join(shared.hint("shuffle_hash"), "anchor")
+    return rows.join(shared.hint("shuffle_hash"), "anchor").where("varied or doc_id > lo").select("doc_id", "anchor", "block", "lo", "varied")
+
+
+def _block_lists(hits: DataFrame) -> DataFrame:
+    """``doc_id, copied, edges``: blocks with their sources, and first blocks at anchors with several."""
     # an anchor with one block has its source at hand; the blocks of others are looked up one by one
     varied = hits.where("varied").groupBy("anchor", "block").agg(F.min("doc_id").alias("least"))
-    hits = hits.where("varied or doc_id > lo").join(varied, ["anchor", "block"], "left").select("doc_id", "block", "varied", F.coalesce("least", "lo").alias("first"))
-    lists = hits.groupBy("doc_id").agg(
+    hits = hits.join(varied, ["anchor", "block"], "left").select("doc_id", "block", "varied", F.coalesce("least", "lo").alias("first"))
+    return hits.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("first") < F.col("doc_id"), F.struct("block", "first"))).alias("copied"),
         F.collect_list(F.when(F.col("first") == F.col("doc_id"), F.col("block"))).alias("edges"),
     )
+
+
+def _edge_windows(named: DataFrame, lists: DataFrame, window: int, anchor: int) -> DataFrame:
     edged = named.join(lists.where("size(edges) > 0").select("doc_id", "edges"), "doc_id")
-    windows = edged.mapInArrow(_boundary_windows(window, anchor), "anchor long, win long, doc_id long")
-    sources = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
-    copied = windows.join(sources.drop("last"), ["anchor", "win"]).where("first < doc_id")
-    single = copied.groupBy("doc_id").agg(F.collect_list(F.struct("win", "first")).alias("single"))
-    all_lists = lists.select("doc_id", "copied").join(single, "doc_id", "left").where("size(copied) > 0 or single is not null")
-    joined = docs.join(all_lists, "doc_id", "left").select(
-        "doc_id", "text", F.col("copied.block").alias("dup"), F.col("copied.first").alias("dup_from"), F.col("single.win").alias("win"), F.col("single.first").alias("win_from")
-    )
-    return joined.mapInArrow(_removals(window, anchor), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:int,words:int,source:long>>")
+    return edged.mapInArrow(_boundary_windows(window, anchor), "anchor long, win long, doc_id long")
