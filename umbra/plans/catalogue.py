@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from umbra.plans import detection, identifiers
+from umbra.plans import detection, governance, identifiers
 
-_MODULES = [detection, identifiers]
+_MODULES = [detection, governance, identifiers]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
