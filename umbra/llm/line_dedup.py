@@ -11,8 +11,10 @@ distance.  Linked lines form classes (connected components); of each class the l
 with the least (doc_id, line number) stays.  Lines under ``NEAR_CHARS`` characters are
 only matched when equal.
 
-Scale: lines are identified by hashes; only lines that share a key with a different
-line are fetched as text.  Repeated lines are dropped from the probes within a worker's
+Scale: lines are identified by hashes (a class joins equal lines by 128 bits, near lines
+by 64); only lines that share a key with a different line are fetched as text.  Pairs
+that only one key brings together must have close counts of characters before they are
+compared.  Repeated lines are dropped from the probes within a worker's
 chunk, equal lines aggregate with map-side combine, and joins are equi-joins that
 adaptive execution can split.
 
@@ -32,15 +34,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.llm import linkage
-from umbra.llm.textio import chunks, cut, utf8
+from umbra.llm.textio import chunks, cut, release, utf8
 from umbra.llm.wordhash import U, mix, powers, stream
 
 EDITS = 2
 NEAR_CHARS = 24
-#: Up to so many line ids (8 bytes each) are broadcast to fetch texts; more go by a shuffle join.
-BROADCAST_IDS = 1_000_000
+#: Classes of code points that the profile of a line counts.
+PROFILE = 32
+#: Up to so many shared buckets or line ids (8 bytes each) are sent to the workers of the next pass; more go by a shuffle join.
+SENT_KEYS = 1_000_000
+#: Fixed value: a character of a word.
+WORD = r"[^\x20\x09-\x0D]"
 _P = U(0xC2B2AE3D27D4EB4F)
 _P_INV = U(pow(int(_P), -1, 1 << 64))
+_R = U(0x94D049BB133111EB)
+_R_INV = U(pow(int(_R), -1, 1 << 64))
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -97,114 +105,184 @@ def within(a: str, b: str, k: int) -> bool:
     return score <= k
 
 
-def _keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of lines and the line of each."""
-    joined = "".join(lines)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    size = np.array([len(x) for x in lines], np.int64)
-    base = np.cumsum(size) - size
-    parts = edits + 1
-    salt = stream(41, parts)
-    out, rows = [], []
-    everyone = np.arange(len(lines))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(points) + 1, U)
-        np.cumsum((points + U(1)) * powers(_P, len(points)), out=sums[1:])
-        inverse = powers(_P_INV, len(points) + 1)
-        for shorter in range(edits + 1):
-            target = size - shorter
-            small, large = target // parts, target % parts
-            for i in range(parts):
-                length = small + (i >= parts - large)
-                start = i * small + np.maximum(0, i - (parts - large))
-                low = max(-i, shorter - (edits - i))
-                high = min(i, shorter + (edits - i))
-                for move in range(low, high + 1):
-                    at = start + move
-                    ok = (length > 0) & (at >= 0) & (at + length <= size)
-                    s = (base + at)[ok]
-                    e = s + length[ok]
-                    body = (sums[e] - sums[s]) * inverse[s]
-                    out.append(mix(mix(body + salt[i]) + target[ok].astype(U)))
-                    rows.append(everyone[ok])
-    return np.concatenate(out), np.concatenate(rows)
-
-
-def _probes(edits: int):
+class Lines:
+    """Lines with a word of a chunk of texts, as ranges of code points with prefix hashes."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        data, offsets = utf8(batch.column("text"))
+        self.raw = data.tobytes()
+        points = np.frombuffer(self.raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        lead = np.flatnonzero((data & 0xC0) != 0x80) if len(data) != len(points) else np.arange(len(data))
+        self.byte_at = np.append(lead, len(data))
+        ends = np.searchsorted(lead, offsets)  # of texts, in code points
+        breaks = np.flatnonzero(points == 10)
+        first = np.union1d(ends[:-1], breaks + 1)
+        first = first[first < len(points)]
+        last = np.append(first[1:], len(points))
+        last = last - (points[last - 1] == 10)
+        text = np.searchsorted(ends, first, side="right") - 1
+        solid = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(~((points == 32) | ((points >= 9) & (points <= 13))), out=solid[1:])
+        number = np.arange(len(first)) - np.searchsorted(first, ends[:-1])[text]
+        has = solid[last] > solid[first]
+        self.first, self.last, self.text, self.number = first[has], last[has], text[has], number[has]
+        self.points = points
+        with np.errstate(over="ignore"):
+            self.sums = np.zeros(len(points) + 1, U)
+            np.cumsum((points.astype(U) + U(1)) * powers(_P, len(points)), out=self.sums[1:])
+            self.inverse = powers(_P_INV, len(points) + 1)
+            size = (self.last - self.first).astype(U)
+            body = (self.sums[self.last] - self.sums[self.first]) * self.inverse[self.first]
+            self.id = mix(body + size * U(0x9E3779B97F4A7C15)).view(np.int64)
+            other = np.zeros(len(points) + 1, U)
+            np.cumsum(mix(points.astype(U)) * powers(_R, len(points)), out=other[1:])
+            self.id2 = mix((other[self.last] - other[self.first]) * powers(_R_INV, len(points) + 1)[self.first]).view(np.int64)
+
+    def line(self, i: int) -> str:
+        return self.raw[self.byte_at[self.first[i]] : self.byte_at[self.last[i]]].decode("utf-8")
+
+    def keys(self, edits: int, near_chars: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket keys of the chunk's different lines, and the id of each key's line."""
+        long = np.flatnonzero(self.last - self.first >= near_chars)
+        _, once = np.unique(self.id[long], return_index=True)
+        long = long[once]
+        base, ids = self.first[long], self.id[long]
+        size = self.last[long] - base
+        parts = edits + 1
+        salt = stream(41, parts)
+        out, of = [], []
+        with np.errstate(over="ignore"):
+            for shorter in range(edits + 1):
+                target = size - shorter
+                small, large = target // parts, target % parts
+                for i in range(parts):
+                    length = small + (i >= parts - large)
+                    start = i * small + np.maximum(0, i - (parts - large))
+                    for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+                        at = start + move
+                        ok = (length > 0) & (at >= 0) & (at + length <= size)
+                        s = (base + at)[ok]
+                        body = (self.sums[s + length[ok]] - self.sums[s]) * self.inverse[s]
+                        out.append(mix(mix(body + salt[i]) + target[ok].astype(U)))
+                        of.append(ids[ok])
+        return np.concatenate(out).view(np.int64), np.concatenate(of)
+
+    def profile(self, i: int) -> np.ndarray:
+        """How often code points of each class modulo PROFILE occur in line i."""
+        return np.bincount(self.points[self.first[i] : self.last[i]] % PROFILE, minlength=PROFILE)
+
+
+def _held(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
+
+
+def _probes(edits: int, near_chars: int, wanted: np.ndarray | None = None):
+    """Rows (bucket, id); wanted: sorted buckets, others stay in the worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "line"):
-            ids = batch.column("id").to_numpy()
-            _, first = np.unique(ids, return_index=True)
-            batch = batch.take(pa.array(first))
-            ids = ids[first]
-            keys, rows = _keys(batch.column("line").to_pylist(), edits)
-            both = np.unique(np.stack([keys.view(np.int64), ids[rows]]), axis=1) if edits == 0 else np.stack([keys.view(np.int64), ids[rows]])
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["bucket", "id"])
+        for batch in chunks(batches):
+            keys, ids = Lines(batch).keys(edits, near_chars)
+            if wanted is not None:
+                ok = _held(wanted, keys)
+                keys, ids = keys[ok], ids[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["bucket", "id"])
 
     return run
 
 
-def _split(text: Column) -> Column:
-    return F.split(text.cast("string"), "\n", -1)
+_TEXT = pa.struct([("id", pa.int64()), ("line", pa.string()), ("profile", pa.list_(pa.int32()))])
+
 
+def _read(wanted: np.ndarray | None, near_chars: int):
+    """A row per document: number, id and id2 of its lines, and the wanted lines' texts and profiles (None: of all)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            own = Lines(batch)
+            edges = np.searchsorted(own.text, np.arange(batch.num_rows + 1)).astype(np.int32)
+            long = own.last - own.first >= near_chars
+            take = np.flatnonzero(long & _held(wanted, own.id) if wanted is not None else long)
+            texts = pa.array([{"id": int(own.id[i]), "line": own.line(i), "profile": own.profile(i).tolist()} for i in take], _TEXT)
+            lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (own.number.astype(np.int32), own.id, own.id2)]
+            text_edges = np.searchsorted(own.text[take], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, pa.ListArray.from_arrays(pa.array(text_edges), texts)], names=["doc_id", "number", "id", "id2", "texts"])
+
+    return run
 
-def _has_word(line: Column) -> Column:
-    return F.length(F.translate(line, " \t\x0b\x0c\r", "")) > 0
 
+READ_SCHEMA = "doc_id long, number array<int>, id array<long>, id2 array<long>, texts array<struct<id:long,line:string,profile:array<int>>>"
 
-def lines(docs: DataFrame, *extra: Column) -> DataFrame:
-    """``doc_id, line_no, id, id2`` (and more) of each line with a word; ids hash the line."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(_split(F.col("text"))).alias("line_no", "line"))
-    return rows.where(_has_word(F.col("line"))).select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), *extra)
 
+def _sorted_longs(rows: DataFrame, most: int) -> np.ndarray | None:
+    """The values of a one-column table in order if there are at most ``most``; else None."""
+    if rows.count() > most:
+        return None
+    return np.sort(np.array([r[0] for r in rows.toLocalIterator()], np.int64))
 
-def near_links(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Links ``(a, b)`` between different lines' ids and components ``(id, component)``."""
-    long = lines(docs, F.col("line")).where(F.char_length("line") >= near_chars).select("id", "line")
-    probes = long.mapInArrow(_probes(edits), "bucket long, id long")
-    shared = probes.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("bucket")
-    members = cut(probes.join(shared, "bucket").distinct())
-    wanted = cut(members.select("id").distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = cut(long.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+
+def classes(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines read (a row per document), links ``(a, b)`` between near lines' ids, components ``(id, component)``."""
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "bucket long, id long"
+    probes = named.mapInArrow(_probes(edits, near_chars), schema)
+    shared = cut(probes.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("bucket"))
+    release(docs.sparkSession)
+    buckets = _sorted_longs(shared, SENT_KEYS)
+    probes = named.mapInArrow(_probes(edits, near_chars, buckets), schema)
+    members = cut((probes if buckets is not None else probes.join(shared, "bucket")).distinct())
+    ids = cut(members.select("id").distinct())
+    wanted = _sorted_longs(ids, SENT_KEYS)
+    read = named.mapInArrow(_read(wanted, near_chars), READ_SCHEMA)
+    read = cut(read)
+    texts = read.select(F.explode("texts").alias("t")).select("t.*").dropDuplicates(["id"])
+    texts = cut(texts if wanted is not None else texts.join(ids, "id", "left_semi"))
 
     @F.pandas_udf(T.BooleanType())
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within(x, y, edits) for x, y in zip(a, b, strict=True)], dtype=bool)
 
+    small = (texts.agg(F.sum(F.octet_length("line") + 64)).first()[0] or 0) <= linkage.BROADCAST_BYTES
+
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "ab")
-        both = pairs.join(a, "a").join(b, "b").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= edits)
-        return both.where(near("line_a", "line_b")).select("a", "b").distinct()
+        a, b = linkage.sides(texts, "line", small)
+        return pairs.join(a, "a").join(b, "b").where(near("of_a", "of_b")).select("a", "b").distinct()
 
-    sized = cut(members.join(texts.select("id", F.char_length("line").alias("size")), "id"))
-    return linkage.link(sized, verify, lambda a, b: F.abs(a - b) <= edits)
+    def compatible(a: Column, b: Column) -> Column:
+        off = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+        return off <= 2 * edits  # an edit changes at most two counts by one
 
+    return read, *linkage.link(members, verify, lambda ids: texts.join(ids, "id", "left_semi").select("id", "profile"), compatible)
 
-def repeats(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """``doc_id, line_no, class_id, first_doc, first_line`` of each line that an earlier line of its class precedes."""
-    rows = lines(docs)
+
+def repeats(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, line_no, class_id, first_doc, first_line`` of each line that an earlier line of its class precedes; lines read."""
+    read, _, found = classes(docs, edits, near_chars)
+    rows = read.select("doc_id", F.explode(F.arrays_zip("number", "id", "id2")).alias("l")).select("doc_id", F.col("l.number").alias("line_no"), "l.id", "l.id2")
     equal = rows.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    _, found = near_links(docs, edits, near_chars)
-    linked = equal.join(found, "id")
-    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
-    near = linked.join(heads, "component").select("id", "id2", F.col("component").alias("class_id"), "head")
-    alone = equal.where("n > 1").join(found, "id", "left_anti").select("id", "id2", F.col("id").alias("class_id"), F.col("first").alias("head"))
-    out = rows.join(near.union(alone), ["id", "id2"]).where("struct(doc_id, line_no) <> head")
-    return out.select("doc_id", "line_no", "class_id", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line"))
+    equal = equal.join(found, "id", "left").where("n > 1 or component is not null").select("id", "id2", F.coalesce("component", "id").alias("class_id"), F.col("component").isNotNull().alias("linked"), "first")
+    equal = cut(equal)
+    heads = equal.where("linked").groupBy("class_id").agg(F.min("first").alias("head"))
+    heads = equal.join(heads.withColumn("linked", F.lit(True)), ["class_id", "linked"], "left").select("id", "id2", "class_id", F.coalesce("head", "first").alias("head"))
+    out = rows.join(heads, ["id", "id2"]).where("struct(doc_id, line_no) <> head")
+    return out.select("doc_id", "line_no", "class_id", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line")), read
+
+
+def _split(text: Column) -> Column:
+    return F.split(text.cast("string"), "\n", -1)
 
 
-def _removed(docs: DataFrame, **options: int) -> DataFrame:
-    found = repeats(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("_removed"))
-    return found.withColumnRenamed("doc_id", "_removed_id")
+def _removed(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("_removed")).withColumnRenamed("doc_id", "_removed_id")
 
 
 def line_report(docs: DataFrame, **options: int) -> DataFrame:
     """Per row ``doc_id, n_lines, n_removed, removed_lines``; the last lists line numbers from 0, comma-joined."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.filter(_split(F.col("text")), _has_word)), F.lit(0)).cast("long").alias("n_lines"))
-    own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    out = own.join(_removed(docs, **options), F.col("doc_id") == F.col("_removed_id"), "left")
+    found, read = repeats(docs, **options)
+    own = read.select("doc_id", F.size("id").cast("long").alias("n_lines"))
+    own = own.union(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.size(F.filter(_split(F.coalesce("text", F.lit(""))), lambda x: F.rlike(x, F.lit(WORD)))).cast("long")))
+    out = own.join(_removed(found), F.col("doc_id") == F.col("_removed_id"), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("_removed", ","), F.lit("")).alias("removed_lines"))
 
 
@@ -213,11 +291,11 @@ def without_repeats(docs: DataFrame, **options: int) -> DataFrame:
 
     Documents of which only blank lines would be left are dropped.
     """
-    removed = _removed(docs, **options)
+    removed = _removed(repeats(docs, **options)[0])
     out = docs.join(removed, docs["doc_id"].cast("long") == F.col("_removed_id"), "left")
     split = _split(F.col("text"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed")), lambda i: F.get(split, i))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    out = out.select(*columns, F.col("_removed").isNotNull().alias("_cut")).where(~F.col("_cut") | F.exists(_split(F.col("text")), _has_word)).drop("_cut")
+    out = out.select(*columns, F.col("_removed").isNotNull().alias("_cut")).where(~F.col("_cut") | F.rlike("text", F.lit(WORD))).drop("_cut")
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -3,8 +3,8 @@
 Buckets come as ``(bucket, id)`` rows.  Members are compared with their bucket's
 least member first; that settles groups of copies of any size with one
 comparison a member.  Only buckets whose members then still lie in more than one
-component go on: their members from different components are compared directly,
-so no link between two members of a bucket is lost.
+component go on: their members from different components are compared unless a
+cheap bound rules the link out, so no link between two members of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -17,26 +17,28 @@ from pyspark.sql import functions as F
 from umbra.llm.graph import components
 from umbra.llm.textio import cut
 
-#: Pairs left between components that are compared directly; above it another star round goes first.
-DIRECT_PAIRS = 2_000_000
-STAR_ROUNDS = 4
+#: Bytes of the members' contents up to which they are broadcast to the pairs; beyond, both go by shuffle joins.
+BROADCAST_BYTES = 32 << 20
 
 
 def link(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible: Callable[[Column, Column], Column], direct_pairs: int = DIRECT_PAIRS
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    profile: Callable[[DataFrame], DataFrame],
+    compatible: Callable[[Column, Column], Column],
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links ``(a, b)`` and components ``(id, component)``.
 
-    ``members``: distinct ``(bucket, id, size)``.  ``verify`` takes pairs ``(a, b)`` with
-    ``a < b`` and returns those that hold.  ``compatible`` tells from two sizes whether
-    a link is possible at all.  Every pair that shares a bucket is
-    either verified or already within one component, so the components are
-    exact with respect to the buckets.
+    ``members``: distinct ``(bucket, id)``.  ``verify`` takes pairs ``(a, b)`` with
+    ``a < b`` and returns those that hold.  ``profile`` gives ``(id, profile)`` for the
+    ids of a table, and ``compatible`` tells from two profiles whether their link is
+    possible at all.  Every pair that shares a bucket is verified, or already within
+    one component, or incompatible; so the components are exact with respect to the
+    buckets.
 
-    Rounds: each member against the least of its buckets' leaders; then against
-    those of its other leaders that lie in another component; then, while many
-    cross-component pairs are left, against other members picked per bucket;
-    last, all cross-component pairs that share a bucket.
+    Rounds: each member against the least of its buckets' leaders; then against those
+    of its other leaders that lie in another component; last, all compatible
+    cross-component pairs that share a bucket, each once.
     """
     sized = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     rest = cut(members.join(sized, "bucket").select("bucket", "id", "leader"))
@@ -47,28 +49,17 @@ def link(
     more = cut(verify(placed.where("c_leader <> c_id").select(F.col("leader").alias("a"), F.col("id").alias("b"))))
     links = cut(links.union(more).distinct())
     own = components(links)
-    rest = rest.select("bucket", "id")
-    for round_no in range(STAR_ROUNDS + 1):
-        placed = _placed(rest, own, "id").withColumnRenamed("c_id", "component")
-        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-        mixed = parts.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("kk")).where("c > 1")
-        rest = cut(placed.join(mixed.select("bucket", ((F.col("n") * F.col("n") - F.col("kk")) / 2).alias("pairs")), "bucket"))
-        todo = rest.groupBy("bucket").agg(F.first("pairs").alias("p")).agg(F.sum("p")).first()[0] or 0
-        if todo == 0:
-            return links, own
-        if todo <= direct_pairs or round_no == STAR_ROUNDS:
-            break
-        pick = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(round_no))).alias("l"))
-        star = rest.join(pick, "bucket").where("component <> l.component").select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-        links = cut(links.union(verify(star)).distinct())
-        own = components(links)
-        rest = rest.select("bucket", "id")
+    placed = _placed(rest.select("bucket", "id"), own, "id").withColumnRenamed("c_id", "component")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    rest = cut(placed.join(mixed, "bucket"))
+    if rest.isEmpty():
+        return links, own
+    profiles = profile(cut(rest.select("id").distinct()))
     # each pair comes from the least bucket that its two members share, once
-    own_buckets = rest.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
-    rest = cut(rest.join(own_buckets, "id").join(members.select("id", "size").distinct(), "id"))
-    left = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("buckets").alias("ba"), F.col("size").alias("na"))
-    right = rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("buckets").alias("bb"), F.col("size").alias("nb"))
-    once = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible(F.col("na"), F.col("nb")) & (F.array_min(F.array_intersect("ba", "bb")) == left["bucket"])
+    buckets = rest.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+    rest = cut(rest.join(buckets, "id").join(profiles, "id"))
+    left, right = (rest.select("bucket", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("buckets").alias(f"b{i}"), F.col("profile").alias(f"p{i}")) for i in "ab")
+    once = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.array_min(F.array_intersect("ba", "bb")) == left["bucket"]) & compatible(F.col("pa"), F.col("pb"))
     pairs = left.join(right, (left["bucket"] == right["bucket"]) & once).select("a", "b")
     more = cut(verify(pairs))
     if more.isEmpty():
@@ -77,6 +68,12 @@ def link(
     return links, components(links)
 
 
+def sides(table: DataFrame, column: str, small: bool) -> list[DataFrame]:
+    """``column`` of ``table`` for both ends of a pair, as ``of_a`` and ``of_b``; broadcast if it is known to be small."""
+    out = [table.select(F.col("id").alias(i), F.col(column).alias(f"of_{i}")) for i in "ab"]
+    return [F.broadcast(x) for x in out] if small else out
+
+
 def _placed(rows: DataFrame, own: DataFrame, *ids: str) -> DataFrame:
     """With the component of each id column as ``c_<column>``."""
     for i in ids:

@@ -11,8 +11,8 @@ the rest.
 
 Recall: a pair at exactly the threshold 0.75 shares a given band with probability
 about 0.75**5, so all 48 bands miss it with probability about 2e-6 (5e-9 at 0.8).
-The sketch filter asks for half of the 240 coordinates, over eight standard
-deviations below the 180 expected at the threshold.
+The sketch filter asks for 144 of the 240 coordinates, over five standard deviations
+below the 180 expected at the threshold.
 
 Defined results: null or empty texts and texts without words have an empty set and
 link with nothing; rows without doc_id are never linked (component_id null, kept);
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ from umbra.llm.wordhash import U, gram_starts, grams, mix, stream, word_hashes
 SHINGLE = 5
 BANDS, ROWS = 48, 5
 THRESHOLD = (75, 100)
+#: Parts of the hash space in a document's profile.
+PARTS = 64
 #: Up to so many doc_ids (8 bytes each) are broadcast to fetch texts; more go by a shuffle join.
 BROADCAST_IDS = 1_000_000
 
@@ -116,13 +118,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
+        if sets:
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "shingle"])
+
+
 @F.pandas_udf(T.BooleanType())
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    """At least half of the coordinates agree in their low byte."""
+    """At least three in five coordinates agree in their low byte."""
     if not len(a):
         return pd.Series([], dtype=bool)
     x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in (a, b))
-    return pd.Series((x == y).sum(axis=1) * 2 >= x.shape[1])
+    return pd.Series((x == y).sum(axis=1) * 5 >= x.shape[1] * 3)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -158,10 +168,10 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sig = cut(signatures(docs))
     some = sig.where("doc_id is not null and n_shingles > 0")
     classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    banded = some.select(F.explode("bands").alias("bucket"), "doc_id", "s1", "n_shingles")
+    banded = some.select(F.explode("bands").alias("bucket"), "doc_id", "s1")
     # only buckets with different sets go on, and of each set its representative
     shared = banded.groupBy("bucket").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x < y").select("bucket")
-    members = banded.join(shared, "bucket").select("bucket", F.col("doc_id").alias("id"), F.col("n_shingles").alias("size")).distinct()
+    members = banded.join(shared, "bucket").select("bucket", F.col("doc_id").alias("id")).distinct()
     members = cut(members.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
     if wanted.count() <= BROADCAST_IDS:
@@ -169,14 +179,31 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets, "id long, set binary, low binary"))
 
+    small = (sets.agg(F.sum(F.octet_length("set") + F.octet_length("low") + 64)).first()[0] or 0) <= linkage.BROADCAST_BYTES
+
     def verify(pairs: DataFrame) -> DataFrame:
         for udf, column in ((_near, "low"), (_similar, "set")):
-            a, b = (sets.select(F.col("id").alias(i), F.col(column).alias(f"of_{i}")) for i in "ab")
+            a, b = linkage.sides(sets, column, small)
             pairs = pairs.join(a, "a").join(b, "b").where(udf("of_a", "of_b")).select("a", "b").distinct()
         return pairs
 
-    up, down = THRESHOLD
-    links, found = linkage.link(members, verify, lambda a, b: F.least(a, b) * down >= F.greatest(a, b) * up)
+    def profile(ids: DataFrame) -> DataFrame:
+        """Set size, and per part of the hash space how many shingles the document shares with any other of these documents."""
+        own = cut(sets.join(ids, "id", "left_semi").mapInArrow(_shingles, "id long, shingle long"))
+        part = F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")
+        alone = own.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id", part).agg(F.count("*").alias("alone"))
+        each = own.groupBy("id", part).agg(F.count("*").alias("n")).join(alone, ["id", "part"], "left")
+        whole = each.groupBy("id").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("part", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int")))).alias("shared"))
+        filled = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("shared", i), F.lit(0)))
+        return whole.select("id", F.struct("size", filled.alias("shared")).alias("profile"))
+
+    def compatible(a: Column, b: Column) -> Column:
+        """The sets could have enough in common: no part has more than the poorer document shares there."""
+        up, down = THRESHOLD
+        most = F.aggregate(F.zip_with(a["shared"], b["shared"], lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+        return (F.least(a["size"], b["size"]) * down >= F.greatest(a["size"], b["size"]) * up) & (most * (up + down) >= (a["size"] + b["size"]) * up)
+
+    links, found = linkage.link(members, verify, profile, compatible)
     # several classes can hold one doc_id (repeated rows), so a class goes with its rep and every doc_id with its classes
     ids = some.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"]).join(found.withColumnRenamed("id", "rep"), "rep", "left")
     ids = ids.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))

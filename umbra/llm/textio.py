@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,9 @@ def release(spark: SparkSession) -> None:
     long after a large exchange has been read for the last time.
     """
     gc.collect()
+    time.sleep(1.2)  # the gateway tells the JVM of dropped objects about once a second
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
