@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.textio import chunks, cut, utf8
+from umbra.llm.textio import chunks, cut, packed, unpacked, utf8
 from umbra.llm.wordhash import U, byte_table, gram_starts, grams, mix, word_hashes
 
 SPAN = 13
@@ -137,5 +137,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, columns as given."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("_bad_id"), "left_anti")
+    bad = contaminated(docs, benchmark).select("doc_id").distinct()
+    return unpacked(packed(docs).join(bad, "doc_id", "left_anti"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.llm import linkage
-from umbra.llm.textio import chunks, cut, release, utf8
+from umbra.llm.textio import chunks, cut, packed, release, utf8
 from umbra.llm.wordhash import U, mix, powers, stream
 
 EDITS = 2
@@ -291,11 +291,11 @@ def without_repeats(docs: DataFrame, **options: int) -> DataFrame:
 
     Documents of which only blank lines would be left are dropped.
     """
-    removed = _removed(repeats(docs, **options)[0])
-    out = docs.join(removed, docs["doc_id"].cast("long") == F.col("_removed_id"), "left")
+    removed = _removed(repeats(docs, **options)[0]).withColumnsRenamed({"_removed_id": "doc_id", "_removed": "removed"})
+    out = packed(docs, F.col("text").cast("string").alias("text")).join(removed, "doc_id", "left")
     split = _split(F.col("text"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed")), lambda i: F.get(split, i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    out = out.select(*columns, F.col("_removed").isNotNull().alias("_cut")).where(~F.col("_cut") | F.rlike("text", F.lit(WORD))).drop("_cut")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed")), lambda i: F.get(split, i))
+    out = out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    out = out.where(F.col("removed").isNull() | F.rlike("text", F.lit(WORD)))
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("removed").isNull(), F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None)).otherwise(F.char_length("text").cast("long"))}
+    return out.select(*[(fresh.get(c, F.col("row")[c])).alias(c) for c in docs.columns])

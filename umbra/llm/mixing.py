@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.textio import cut
+from umbra.llm.textio import cut, packed
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -77,7 +77,7 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
 
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sources ``source_key, source_size, target, rate, seed`` and sized rows ``doc_id, source_key, size``."""
-    sizes = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
+    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")))
     per = targets(sizes).withColumn("rate", F.coalesce(F.least(F.try_divide("target", "source_size"), F.lit(float(MOST))), F.lit(0.0)))
     per = cut(per)
     sized = sizes.select("doc_id", _key(F.col("source")).alias("source_key"), "size")
@@ -104,43 +104,11 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mixture takes them; ``copy`` counts from 1."""
+    """The documents as often as the mixture takes them; ``copy`` (with underscores if the table has that column) counts from 1."""
     per, _ = plan(docs)
-    names = docs.columns
-    per = per.select("source_key", "rate", "seed")
-    taken = F.broadcast(per) if per.count() <= BROADCAST_SOURCES else per
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), _key(F.col("source")).alias("source_key")).join(taken, "source_key")
-    rows = rows.withColumn("n", copies()).where("n > 0")
-    return rows.select(*[F.col("row")[c].alias(c) for c in names], F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-
-
-_DRAWS = ", ".join(f"('0x' || substr(md5('{k}:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0" for k in range(SEEDS))
-_OFFS = ", ".join(f"{{'off': abs(floor(rate) * source_size + coalesce(sum(size) filter (where d[{k + 1}] < rate - floor(rate)), 0) - target), 'seed': {k}}}" for k in range(SEEDS))
-ORACLE = f"""
-with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, [{_DRAWS}] as d from documents
-), per as (
-  select source, sum(size)::bigint as source_size from sized group by source
-), weighed as (
-  select *, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as weight from per
-), prefixes as (
-  select sum(2 * source_size) over w as c, sum(weight) over w as k from weighed
-  window w as (order by 2.0 * source_size / weight, source nulls last rows unbounded preceding)
-), whole as (
-  select sum(source_size)::double as total, sum(weight) as k from weighed
-), level as (
-  select max(l) as level from (
-    select 1.5 * total / k as l from whole
-    union all select (1.5 * total - p.c) / (w.k - p.k) from prefixes p, whole w where w.k > p.k)
-), goal as (
-  select source, source_size, least(weight * level, (2 * source_size)::double) as target from weighed, level
-), rated as (
-  select *, case when source_size > 0 then least(target / source_size, 2.0) else 0.0 end as rate from goal
-), seeded as (
-  select r.source, source_size, target, rate, list_min([{_OFFS}]).seed as seed
-  from sized s join rated r on s.source is not distinct from r.source group by r.source, source_size, target, rate
-)
-select doc_id, size, source_size, target,
-  (size * (floor(rate) + case when d[seed + 1] < rate - floor(rate) then 1 else 0 end))::bigint as taken
-from sized s join seeded r on s.source is not distinct from r.source
-"""
+    counter = "copy"
+    while counter in docs.columns:
+        counter += "_"
+    rows = with_sources(packed(docs, _key(F.col("source")).alias("source_key")), per.select("source_key", "rate", "seed"))
+    rows = rows.withColumn("times", copies()).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth")).select("row.*", F.col("nth").alias(counter))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.llm import linkage
-from umbra.llm.textio import chunks, cut, utf8
+from umbra.llm.textio import chunks, cut, packed, unpacked, utf8
 from umbra.llm.wordhash import U, gram_starts, grams, mix, stream, word_hashes
 
 SHINGLE = 5
@@ -215,5 +215,5 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay when one row of each group remains, columns as given."""
     found, _ = near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    gone = found.where("not kept").select("doc_id").distinct()
+    return unpacked(packed(docs).join(gone, "doc_id", "left_anti"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.textio import chunks, cut, utf8
+from umbra.llm.textio import chunks, cut, packed, unpacked, utf8
 from umbra.llm.wordhash import SPACE, U, byte_table, gram_starts, grams, mix, powers, stream, word_hashes
 
 MIN_WORDS = 50
@@ -140,10 +140,6 @@ def _line_hashes(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
-
-
 def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_boilerplate_words, source, text_key``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
@@ -171,7 +167,7 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_S
 
 def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that pass, columns and texts as given."""
-    bad = verdicts(docs, **limits).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("source").alias("_s")).distinct()
-    rows = with_key(docs)
-    same = rows["doc_id"].cast("long").eqNullSafe(bad["_d"]) & (rows["_text_key"] == bad["_k"]) & rows["source"].cast("string").eqNullSafe(bad["_s"])
-    return rows.join(bad, same, "left_anti").drop("_text_key")
+    bad = verdicts(docs, **limits).where("not kept").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("source").alias("s")).distinct()
+    rows = packed(docs, F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("source").cast("string").alias("source"))
+    same = rows["doc_id"].eqNullSafe(bad["d"]) & (rows["text_key"] == bad["k"]) & rows["source"].eqNullSafe(bad["s"])
+    return unpacked(rows.join(bad, same, "left_anti"))

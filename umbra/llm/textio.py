@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised pass works on; bounds a worker's memory.
 CHUNK_BYTES = 1 << 21
@@ -31,6 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows as one column ``row``, with ``doc_id`` as a long and more columns beside it; no name of the table can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *more)
+
+
+def unpacked(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select("row.*", *more)
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
 
