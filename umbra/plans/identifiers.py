@@ -48,11 +48,11 @@ def _luhn_sql(x: str, n: int) -> str:
     return f"{_sum(x, weights, cross=True)} % 10 = 0"
 
 
-def _check(name: str, value: Column, value_sql: str, valid: Callable[[Column], Column], valid_sql: str) -> None:
+def _check(name: str, value: Callable[[], Column], value_sql: str, valid: Callable[[Column], Column], valid_sql: str) -> None:
     """Rows o_orderkey, value, valid."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", value.alias("value"))
+        rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", value().alias("value"))
         return rows.select("o_orderkey", "value", valid(F.col("value")).alias("valid"))
 
     QUERIES[name] = run
@@ -60,12 +60,17 @@ def _check(name: str, value: Column, value_sql: str, valid: Callable[[Column], C
 
 
 _PREFIXES = ["4", "34", "51", "2221", "36", "3528", "6011", "62", "50", "99"]
-_prefix = F.get(F.array(*[F.lit(p) for p in _PREFIXES]), (F.col("o_orderkey") % 10).cast("int"))
+
+
+def _prefix() -> Column:
+    return F.get(F.array(*[F.lit(p) for p in _PREFIXES]), (F.col("o_orderkey") % 10).cast("int"))
+
+
 _prefix_sql = "[" + ", ".join(f"'{p}'" for p in _PREFIXES) + "][(o_orderkey % 10)::int + 1]"
 
-_check("card_luhn_valid", number(16, 5), number_sql(16, 5), checks.luhn, _luhn_sql("value", 16))
-_check("imei_valid", number(15, 7), number_sql(15, 7), checks.imei, _luhn_sql("value", 15))
-_check("aba_valid", number(9, 11), number_sql(9, 11), checks.aba, f"value <> '000000000' and {_sum('value', [3, 7, 1] * 3)} % 10 = 0")
+_check("card_luhn_valid", lambda: number(16, 5), number_sql(16, 5), checks.luhn, _luhn_sql("value", 16))
+_check("imei_valid", lambda: number(15, 7), number_sql(15, 7), checks.imei, _luhn_sql("value", 15))
+_check("aba_valid", lambda: number(9, 11), number_sql(9, 11), checks.aba, f"value <> '000000000' and {_sum('value', [3, 7, 1] * 3)} % 10 = 0")
 
 _ISSUER_SQL = "case " + " ".join(
     f"when regexp_matches(value, '^(?:{p})') then (case when length(value) in ({', '.join(map(str, n))}) then '{name}' end)" for name, p, n in checks.ISSUERS
@@ -73,7 +78,7 @@ _ISSUER_SQL = "case " + " ".join(
 
 
 def card_issuer_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.substring(F.concat(_prefix, number(17, 3)), 1, 16)
+    value = F.substring(F.concat(_prefix(), number(17, 3)), 1, 16)
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(value.alias("value"))
     return rows.groupBy(F.coalesce(checks.card_issuer(F.col("value")), F.lit("none")).alias("issuer")).agg(F.count("*").alias("n"), F.count_if(checks.card(F.col("value"))).alias("n_valid"))
 
@@ -85,9 +90,15 @@ select coalesce(issuer, 'none') as issuer, count(*) as n, count(*) filter (where
 """
 
 # IBAN: the right check digits for even keys, two fixed ones for others
-_bban, _bban_sql = number(18, 13), number_sql(18, 13)
-_rest = F.aggregate(checks.values(F.concat(_bban, F.lit("131400"))), F.lit(0), lambda r, v: (r * 10 + v) % 97)
-_iban = F.concat(F.lit("DE"), F.when(F.col("o_orderkey") % 2 == 0, F.lpad((98 - _rest).cast("string"), 2, "0")).otherwise("42"), _bban)
+_bban_sql = number_sql(18, 13)
+
+
+def _iban() -> Column:
+    bban = number(18, 13)
+    rest = F.aggregate(checks.values(F.concat(bban, F.lit("131400"))), F.lit(0), lambda r, v: (r * 10 + v) % 97)
+    return F.concat(F.lit("DE"), F.when(F.col("o_orderkey") % 2 == 0, F.lpad((98 - rest).cast("string"), 2, "0")).otherwise("42"), bban)
+
+
 _iban_sql = f"'DE' || case when o_orderkey % 2 = 0 then lpad((98 - ({_bban_sql} || '131400')::hugeint % 97)::varchar, 2, '0') else '42' end || {_bban_sql}"
 _check("iban_valid_derived", _iban, _iban_sql, checks.iban, "length(value) = 22 and (substr(value, 5) || '1314' || substr(value, 3, 2))::hugeint % 97 = 1")
 
@@ -101,9 +112,17 @@ def _mod_11_10_sql(x: str, n: int, start: int = 1) -> str:
 
 
 # tax id: ten digits with one digit twice for most keys, and a check digit right for two keys in three
-_ten = F.concat(F.lit("1"), F.substring(F.lit("0234567892345678923"), (F.col("o_orderkey") % 9 + 1).cast("int"), 8), F.substring(F.lit("0123456789"), (F.col("o_orderkey") % 7 + 2).cast("int"), 1))
+def _ten() -> Column:
+    return F.concat(F.lit("1"), F.substring(F.lit("0234567892345678923"), (F.col("o_orderkey") % 9 + 1).cast("int"), 8), F.substring(F.lit("0123456789"), (F.col("o_orderkey") % 7 + 2).cast("int"), 1))
+
+
 _ten_sql = "'1' || substr('0234567892345678923', (o_orderkey % 9 + 1)::int, 8) || substr('0123456789', (o_orderkey % 7 + 2)::int, 1)"
-_tax = F.concat(_ten, (F.col("o_orderkey") % 10).cast("string"))
+
+
+def _tax() -> Column:
+    return F.concat(_ten(), (F.col("o_orderkey") % 10).cast("string"))
+
+
 _counts_sql = "list_transform(range(10), lambda d: 10 - length(replace(substr(value, 1, 10), d::varchar, '')))"
 _check(
     "tax_id_valid_derived", _tax, f"{_ten_sql} || (o_orderkey % 10)::varchar", checks.tax_id,
@@ -111,14 +130,23 @@ _check(
     f"and not regexp_matches(substr(value, 1, 10), '{'|'.join(str(d) * 3 for d in range(10))}') and {_mod_11_10_sql('value', 10)} = {_digit('value', 11)}",
 )
 
-_check("vat_de_valid_derived", F.concat(F.lit("DE"), number(9, 17)), f"'DE' || {number_sql(9, 17)}", checks.vat_de, f"substr(value, 3, 1) <> '0' and {_mod_11_10_sql('value', 8, 3)} = {_digit('value', 11)}")
+_check("vat_de_valid_derived", lambda: F.concat(F.lit("DE"), number(9, 17)), f"'DE' || {number_sql(9, 17)}", checks.vat_de, f"substr(value, 3, 1) <> '0' and {_mod_11_10_sql('value', 8, 3)} = {_digit('value', 11)}")
+
+def _letter() -> Column:
+    return F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.col("o_orderkey") % 26 + 1).cast("int"), 1)
 
-_letter, _letter_sql = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.col("o_orderkey") % 26 + 1).cast("int"), 1), "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (o_orderkey % 26 + 1)::int, 1)"
+
+_letter_sql = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (o_orderkey % 26 + 1)::int, 1)"
 _check(
-    "kvnr_valid_derived", F.concat(_letter, number(9, 19)), f"{_letter_sql} || {number_sql(9, 19)}", checks.kvnr,
+    "kvnr_valid_derived", lambda: F.concat(_letter(), number(9, 19)), f"{_letter_sql} || {number_sql(9, 19)}", checks.kvnr,
     f"{_sum('(lpad((ascii(value) - 64)::varchar, 2, chr(48)) || substr(value, 2, 8))', [1, 2] * 5, cross=True)} % 10 = {_digit('value', 10)}",
 )
-_svnr = F.concat(F.lpad((F.col("o_orderkey") % 90).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") % 32).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") % 13).cast("string"), 2, "0"), number(2, 23), _letter, number(3, 29))
+
+
+def _svnr() -> Column:
+    return F.concat(F.lpad((F.col("o_orderkey") % 90).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") % 32).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") % 13).cast("string"), 2, "0"), number(2, 23), _letter(), number(3, 29))
+
+
 _svnr_sql = f"lpad((o_orderkey % 90)::varchar, 2, '0') || lpad((o_orderkey % 32)::varchar, 2, '0') || lpad((o_orderkey % 13)::varchar, 2, '0') || {number_sql(2, 23)} || {_letter_sql} || {number_sql(3, 29)}"
 _check(
     "svnr_valid_derived", _svnr, _svnr_sql, checks.svnr,
@@ -129,20 +157,24 @@ _check(
 
 
 def icao_check_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = F.concat(_letter, number(7, 31), F.lit("<"))
+    field = F.concat(_letter(), number(7, 31), F.lit("<"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", field.alias("field")).select("o_orderkey", "field", checks.icao_digit(F.col("field")).cast("int").alias("digit"))
 
 
 QUERIES["icao_digit"] = icao_check_digit
 ORACLES["icao_digit"] = f"with v as (select o_orderkey, {_letter_sql} || {number_sql(7, 31)} || '<' as field from orders) select o_orderkey, field, ({_sum('field', [7, 3, 1] * 3)} % 10)::int as digit from v"
 
-_mrz = F.concat(F.lit("L"), number(8, 37), (F.col("o_orderkey") % 10).cast("string"), F.lit("D<<"), number(6, 41), (F.col("o_orderkey") % 7).cast("string"), F.lit("F"), number(6, 43), (F.col("o_orderkey") % 3).cast("string"), F.lit("<" * 14), F.lit("<"), (F.col("o_orderkey") % 2).cast("string"))
+
+def _mrz() -> Column:
+    return F.concat(F.lit("L"), number(8, 37), (F.col("o_orderkey") % 10).cast("string"), F.lit("D<<"), number(6, 41), (F.col("o_orderkey") % 7).cast("string"), F.lit("F"), number(6, 43), (F.col("o_orderkey") % 3).cast("string"), F.lit("<" * 14), F.lit("<"), (F.col("o_orderkey") % 2).cast("string"))
+
+
 _mrz_sql = f"'L' || {number_sql(8, 37)} || (o_orderkey % 10)::varchar || 'D<<' || {number_sql(6, 41)} || (o_orderkey % 7)::varchar || 'F' || {number_sql(6, 43)} || (o_orderkey % 3)::varchar || '{'<' * 15}' || (o_orderkey % 2)::varchar"
 
 
 def mrz_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of a passport line's check digits agree."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", _mrz.alias("line"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", _mrz().alias("line"))
     line = F.col("line")
 
     def ok(at: int, n: int, digit: int) -> Column:
@@ -185,6 +217,6 @@ for _name, _weights, _modulus in (("bank_method_02", [2, 3, 4, 5, 6, 7, 8, 9, 2]
     _expected = f"(({_modulus} - {_from_right} % {_modulus}) % {_modulus})"
     if _modulus == 11:
         _expected = f"(case {_expected} when 10 then {0 if _lenient else -1} else {_expected} end)"
-    _check(_name, number(10, 47), number_sql(10, 47), lambda v, w=_weights, m=_modulus, n=_lenient: checks.bank_method(v, w, m, n), f"{_expected} = {_digit('value', 10)}")
+    _check(_name, lambda: number(10, 47), number_sql(10, 47), lambda v, w=_weights, m=_modulus, n=_lenient: checks.bank_method(v, w, m, n), f"{_expected} = {_digit('value', 10)}")
 _w00 = "(" + " + ".join(f"(({_digit('value', 9 - i)} * {w}) // 10 + ({_digit('value', 9 - i)} * {w}) % 10)" for i, w in enumerate([2, 1] * 4 + [2])) + ")"
-_check("bank_method_00", number(10, 53), number_sql(10, 53), checks.bank_method_00, f"(10 - {_w00} % 10) % 10 = {_digit('value', 10)}")
+_check("bank_method_00", lambda: number(10, 53), number_sql(10, 53), checks.bank_method_00, f"(10 - {_w00} % 10) % 10 = {_digit('value', 10)}")
