@@ -18,7 +18,7 @@ from umbra.llm.graph import components
 from umbra.llm.textio import cut
 
 #: Bytes of the members' contents up to which they are broadcast to the pairs; beyond, both go by shuffle joins.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def link(
