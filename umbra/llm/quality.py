@@ -124,7 +124,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _line_hashes(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """Hash of each line's bytes, \\n left out."""
-    if len(data) <= 1 << 22:
+    if len(data) <= 1 << 21:
         return mix(np.add.reduceat(_LINE[data] * powers(_P, len(data)), heads) * powers(_P_INV, len(data))[heads])
     ends = np.append(heads[1:], len(data))
     out = np.empty(len(heads), U)

@@ -12,7 +12,7 @@ import numpy as np
 
 U = np.uint64
 #: Longest stretch of bytes hashed at once; longer texts go in pieces cut at white space.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray | int) -> np.ndarray:
