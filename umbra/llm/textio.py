@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised pass works on; bounds a worker's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,16 +68,28 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _return_memory() -> None:
+    """Give free memory back: a worker stays alive, idle, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text; a longer single text is its own slice."""
-    for batch in batches:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
-        at = 0
-        while at < n:
-            end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-            end = min(max(end, at + 1), n)
-            yield batch.slice(at, end - at)
-            at = end
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
+            at = 0
+            while at < n:
+                end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
+                end = min(max(end, at + 1), n)
+                yield batch.slice(at, end - at)
+                at = end
+    finally:
+        _return_memory()
