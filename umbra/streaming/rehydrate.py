@@ -56,10 +56,10 @@ def restored_chunks(df: DataFrame, key: str, order: list[str], chunk: str, token
     return df.groupBy(key).applyInPandas(fold, f"{fields}, out string")
 
 
-def restored_stream(df: DataFrame, key: str, order: str, chunk: str, done: str, tokens: dict[str, str], idle: str = "1 minute") -> DataFrame:
-    """Streaming form: rows ``key, out`` per micro-batch; the held tail is keyed state, flushed by a ``done`` row or after ``idle`` without chunks."""
+def restored_stream(df: DataFrame, key: str, order: str, chunk: str, done: str, tokens: dict[str, str], idle: str | None = None) -> DataFrame:
+    """Streaming form: rows ``key, out`` per micro-batch; the held tail is keyed state, flushed by a ``done`` row or, if given, after ``idle`` without chunks (for triggers that keep running)."""
     kind = df.schema[key].dataType.simpleString()
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stream = Rehydrator(tokens, state.get[0] if state.exists else "")
@@ -70,10 +70,11 @@ def restored_stream(df: DataFrame, key: str, order: str, chunk: str, done: str,
             text = "".join(stream.push(c or "") + (stream.flush() if end else "") for c, end in zip(rows[chunk], rows[done]))
         if stream.held:
             state.update((stream.held,))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         elif state.exists:
             state.remove()
         if text:
             yield pd.DataFrame({key: [group[0]], "out": [text]})
 
-    return df.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, out string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, out string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
