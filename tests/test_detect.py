@@ -39,6 +39,7 @@ CASES = [
     ("HRB 12345", [("COMMERCIAL_REGISTER_ID", "HRB 12345")]),
     ("PLZ 10115", [("POSTCODE", "10115")]),
     ("Musterstraße 12", [("POSTAL_ADDRESS", "Musterstraße 12")]),
+    ("word\n10.0.0.1\nword", [("IPV4", "10.0.0.1")]),
     ("😀 é a@x.de", [("EMAIL", "a@x.de")]),
     (None, []),
     ("", []),

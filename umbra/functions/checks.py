@@ -46,7 +46,7 @@ def weighted(text: Column, weights: list[int], cross: bool = False) -> Column:
 
 def holds(shape: str, text: Column, check: Column) -> Column:
     """The check where the shape matches in full; false elsewhere, null included."""
-    return F.coalesce(F.when(F.rlike(text, F.lit(f"^(?:{shape})$")), check), F.lit(False))
+    return F.coalesce(F.when(F.rlike(text, F.lit(rf"^(?:{shape})\z")), check), F.lit(False))
 
 
 def luhn(text: Column, shape: str = "[0-9]{2,19}") -> Column:

@@ -61,7 +61,7 @@ def _word(c: Column) -> Column:
 
 def free(value: Column, before: Column, after: Column) -> Column:
     """No word character on either side."""
-    return ~F.rlike(before, F.lit(r"[\p{L}\p{N}_]$")) & ~_word(after)
+    return ~F.rlike(before, F.lit(r"[\p{L}\p{N}_]\z")) & ~_word(after)
 
 
 def _compact(value: Column) -> Column:
@@ -84,11 +84,11 @@ def _email_ok(value: Column, before: Column, after: Column) -> Column:
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     labels = F.split(domain, r"\.")
     right = F.forall(labels, lambda x: (F.length(x) <= 63) & ~F.rlike(x, F.lit("^-|-$")))
-    return (F.length(value) <= 254) & (F.length(local) <= 64) & ~F.rlike(local, F.lit(r"^\.|\.$|\.\.")) & right & ~F.rlike(before, F.lit(r"[\p{L}\p{N}._%+-]$")) & ~F.rlike(after, F.lit(r"^[\p{L}\p{N}_-]"))
+    return (F.length(value) <= 254) & (F.length(local) <= 64) & ~F.rlike(local, F.lit(r"^\.|\.$|\.\.")) & right & ~F.rlike(before, F.lit(r"[\p{L}\p{N}._%+-]\z")) & ~F.rlike(after, F.lit(r"^[\p{L}\p{N}_-]"))
 
 
 def _ipv4_ok(value: Column, before: Column, after: Column) -> Column:
-    outside = ~F.rlike(before, F.lit(r"[\p{L}\p{N}_]$|[0-9]\.$")) & ~F.rlike(after, F.lit(r"^[\p{L}\p{N}_]|^\.[0-9]"))
+    outside = ~F.rlike(before, F.lit(r"[\p{L}\p{N}_]\z|[0-9]\.\z")) & ~F.rlike(after, F.lit(r"^[\p{L}\p{N}_]|^\.[0-9]"))
     return outside & checks.ipv4(value)
 
 
@@ -116,7 +116,7 @@ def _ipv6_ok(value: Column, before: Column, after: Column) -> Column:
     whole = F.when(doubled == 0, (filled == need) & (F.size(groups) == need)).otherwise((doubled == 1) & (filled < need) & ~F.contains(value, F.lit(":::")) & ((filled > 0)))
     edges = (~F.rlike(value, F.lit("^:[^:]|[^:]:$")))
     four = F.when(v4, checks.ipv4(F.element_at(groups, -1))).otherwise(True)
-    return free(value, before, after) & ~F.rlike(before, F.lit(":$")) & ~F.rlike(after, F.lit("^:")) & whole & edges & four
+    return free(value, before, after) & ~F.rlike(before, F.lit(r":\z")) & ~F.rlike(after, F.lit("^:")) & whole & edges & four
 
 
 # fixed values: labels that license a bare identifier
@@ -155,6 +155,9 @@ DETECTORS: tuple[Detector, ...] = (
         "secret:jwt", "SECRET", r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}",
         lambda v, b, a: free(v, b, a) & F.startswith(F.coalesce(F.try_to_binary(_padded(F.substring_index(v, ".", 1)), F.lit("base64")).cast("string"), F.lit("")), F.lit("{")), _has("eyJ"), digits=False),
     Detector("secret:pem-private-key", "SECRET", r"(?i)-{4,}[ \t]*BEGIN[A-Z0-9 \t]{0,40}PRIVATE[ \t]+KEY[A-Z \t]{0,10}-{4,}[\s\S]{0,16384}?-{4,}[ \t]*END[A-Z0-9 \t]{0,60}-{4,}", None, _shape("(?i)PRIVATE[ \t]+KEY"), digits=False),
+    Detector(
+        "travel-document-mrz", "TRAVEL_DOCUMENT_MRZ", r"P[A-Z<][A-Z<]{42}\r?\n[A-Z0-9<]{44}", lambda v, b, a: free(v, b, a) & checks.mrz_td3(F.right(v, F.lit(44))), _has("<<")
+    ),
     Detector("session-token", "SESSION_TOKEN", rf"""(?i)((?:{SESSION_NAMES})["']?[ ]?=[ ]?["']?)([A-Za-z0-9+/_.~%-]{{6,4096}})""", lambda v, b, a: ~F.rlike(v, F.lit(f"(?i)^(?:{CLEARING})$")), _has("="), group=2, digits=False),
     Detector("url-credentials", "URL_CREDENTIALS", r"[A-Za-z][A-Za-z0-9+.-]{1,40}://[^\s:@/?#\"'<>]{1,256}:[^\s@/\"'<>]{1,1024}@[^\s\"'<>]{1,1024}", None, _has("://"), digits=False),
     Detector("iban", "IBAN", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", _checked(checks.iban), _shape("[A-Z]{2}[0-9]{2}")),
@@ -178,14 +181,14 @@ DETECTORS: tuple[Detector, ...] = (
     Detector("account-labelled", "BANK_ACCOUNT", r"[0-9](?: ?[0-9]){3,9}", free, _shape("(?i)kto|konto|acc"), LABELS["account"], 20),
     Detector("ipv6", "IPV6", _IPV6, _ipv6_ok, _has(":"), digits=False),
     Detector("ipv4", "IPV4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", _ipv4_ok, _shape(r"[0-9]\.[0-9]")),
-    Detector("mac", "MAC", r"(?:[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4})", lambda v, b, a: free(v, b, a) & ~F.rlike(b, F.lit("[:-]$")) & ~F.rlike(a, F.lit("^[:-][0-9A-Fa-f]{1}")), _shape("[0-9A-Fa-f]{2}[:.-][0-9A-Fa-f]{2}"), digits=False),
+    Detector("mac", "MAC", r"(?:[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4})", lambda v, b, a: free(v, b, a) & ~F.rlike(b, F.lit(r"[:-]\z")) & ~F.rlike(a, F.lit("^[:-][0-9A-Fa-f]{1}")), _shape("[0-9A-Fa-f]{2}[:.-][0-9A-Fa-f]{2}"), digits=False),
     Detector("mac-labelled", "MAC", r"[0-9A-Fa-f]{12}", lambda v, b, a: free(v, b, a) & F.rlike(v, F.lit("[0-9]")), _shape("(?i)MAC|BSSID|hwaddr|adresse|address|ethernet"), LABELS["mac"], digits=False),
     Detector("bic", "BIC", r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?", free, _shape("(?i)BIC|SWIFT"), LABELS["bic"], 16, digits=False),
     Detector("postal-address", "POSTAL_ADDRESS", r"\p{Lu}[\p{L}-]{0,40}(?:straße|strasse|str\.|chaussee|allee) ?[0-9]{1,3}[a-z]?(?:,? [0-9]{5} \p{Lu}[\p{L}-]{2,30})?", free, _shape("(?i)straße|strasse|str\\.|chaussee|allee")),
     Detector("postal-address-labelled", "POSTAL_ADDRESS", r"\p{Lu}[\p{L}-]{0,40}(?:weg|platz|gasse|ring|damm|ufer|steig) ?[0-9]{1,3}[a-z]?", free, _shape("(?i)weg|platz|gasse|ring|damm|ufer|steig"), LABELS["address"]),
     Detector("date-of-birth", "DATE_OF_BIRTH", r"(?:[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})", _dob_ok, _shape("[0-9]{4}")),
     Detector("phone-nanp", "PHONE", r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[0-9]{3}[ .-][0-9]{4}", free, _shape("[0-9]{3}[ .-][0-9]{4}")),
-    Detector("phone-international", "PHONE", r"(?:\+|00)[1-9](?:[ /().-]{0,2}[0-9]){7,14}", lambda v, b, a: ~F.rlike(b, F.lit(r"[\p{L}\p{N}+]$")) & ~_word(a) & (F.length(F.regexp_replace(v, r"[^(]", "")) == F.length(F.regexp_replace(v, r"[^)]", ""))), _shape(r"\+[0-9]|00[0-9]")),
+    Detector("phone-international", "PHONE", r"(?:\+|00)[1-9](?:[ /().-]{0,2}[0-9]){7,14}", lambda v, b, a: ~F.rlike(b, F.lit(r"[\p{L}\p{N}+]\z")) & ~_word(a) & (F.length(F.regexp_replace(v, r"[^(]", "")) == F.length(F.regexp_replace(v, r"[^)]", ""))), _shape(r"\+[0-9]|00[0-9]")),
     Detector("phone-labelled", "PHONE", r"0[1-9](?:[ /().-]{0,2}[0-9]){4,11}", free, _shape("[0-9]{3}"), LABELS["phone"]),
     Detector("vehicle-plate", "VEHICLE_PLATE", r"[A-ZÄÖÜ]{1,3}[ -][A-Z]{1,2} ?[0-9]{1,4}[EH]?", free, _shape("(?i)kennzeichen|nummernschild"), LABELS["plate"], 32),
     Detector("postcode", "POSTCODE", r"(?:DE?-)[0-9]{5}", free, _has("-")),

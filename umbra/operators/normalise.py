@@ -1,0 +1,82 @@
+"""Scan copies: a text as a reader sees it, with offsets back to the original.
+
+The copy drops invisible characters, applies NFKC per cluster of a base and its marks,
+folds look-alike letters and closes letters spaced out one by one.  Detectors run on
+the original and on a changed copy; spans found in the copy are mapped back and their
+values cut from the original.  Plain ASCII without spaced-out letters has no copy, a
+test that stays native, so Python sees only the texts that need it.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from umbra.functions.text import CONFUSABLES
+from umbra.operators.detect import DETECTORS, SPAN, Detector, candidates
+from umbra.operators.resolve import resolved
+
+COPY = T.StructType([T.StructField("text", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType())), T.StructField("changed", T.BooleanType())])
+_SPACED = re.compile(r"(?<!\S)(?:\w ){3,}\w(?!\S)")
+
+
+def _clusters(text: str) -> list[tuple[int, int]]:
+    out, at = [], 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and unicodedata.combining(text[end]):
+            end += 1
+        out.append((at, end))
+        at = end
+    return out
+
+
+def scan_copy(text: str | None) -> dict[str, object] | None:
+    """``text``, ``offsets`` (one more than characters) and ``changed``; null for null."""
+    if text is None:
+        return None
+    chars: list[str] = []
+    offsets: list[int] = []
+    for start, end in _clusters(text):
+        cluster = text[start:end]
+        if len(cluster) == 1 and unicodedata.category(cluster) == "Cf":
+            continue
+        for c in unicodedata.normalize("NFKC", cluster):
+            chars.append(CONFUSABLES.get(c, c))
+            offsets.append(start)
+    copy = "".join(chars)
+    drop = {i for m in _SPACED.finditer(copy) for i in range(m.start() + 1, m.end(), 2)}
+    if drop:
+        offsets = [o for i, o in enumerate(offsets) if i not in drop]
+        copy = "".join(c for i, c in enumerate(copy) if i not in drop)
+    offsets.append(len(text))
+    return {"text": copy, "offsets": offsets, "changed": copy != text}
+
+
+def needs_copy(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"[^\x00-\x7F]|(?:^|\s)(?:[A-Za-z0-9] ){3,}[A-Za-z0-9](?:\s|$)"))
+
+
+def remapped(spans: Column, offsets: Column, original: Column) -> Column:
+    """Spans of a copy as spans of the original; empty ranges are dropped."""
+
+    def one(s: Column) -> Column:
+        start, end = F.get(offsets, s["start"]), F.get(offsets, s["end"])
+        return F.struct(start.alias("start"), end.alias("end"), s["kind"].alias("kind"), F.substring(original, start + 1, end - start).alias("value"), s["detector"].alias("detector"), s["priority"].alias("priority"))
+
+    return F.filter(F.transform(spans, one), lambda s: s["end"] > s["start"])
+
+
+def found_in_copies(df: DataFrame, text: str = "text", detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
+    """The rows with ``spans`` found in the text or in its scan copy, resolved."""
+    to_copy = F.udf(scan_copy, COPY)
+    df = df.withColumn("_copy", F.when(needs_copy(F.col(text)), to_copy(F.col(text))))
+    df = df.withColumn("_raw", candidates(F.col(text), detectors))
+    in_copy = F.when(F.col("_copy.changed"), candidates(F.col("_copy.text"), detectors)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    df = df.withColumn("_found", F.coalesce(in_copy, F.array().cast(f"array<{SPAN}>")))
+    df = df.withColumn("_all", F.concat("_raw", F.coalesce(remapped(F.col("_found"), F.col("_copy.offsets"), F.col(text)), F.array().cast(f"array<{SPAN}>"))))
+    return df.withColumn("spans", resolved(F.col("_all"))).drop("_copy", "_raw", "_found", "_all")

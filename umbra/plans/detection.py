@@ -50,9 +50,9 @@ def spans_sql(pattern: str, ok: str = "true", source: str = "documents", text: s
   select {key}, s as "start", (s + length(value))::int as "end", value, right(gap, 2) as "before", left(nxt, 3) as "after" from w where {ok.format(before='right(gap, 2)', after='left(nxt, 3)')})"""
 
 
-_FREE = r"not regexp_matches({before}, '[\p{{L}}\p{{N}}_]$') and not regexp_matches({after}, '^[\p{{L}}\p{{N}}_]')"
+_FREE = r"not regexp_matches({before}, '[\p{{L}}\p{{N}}_]\z') and not regexp_matches({after}, '^[\p{{L}}\p{{N}}_]')"
 _IPV4_OK = (
-    r"not regexp_matches({before}, '[\p{{L}}\p{{N}}_]$|[0-9]\.$') and not regexp_matches({after}, '^[\p{{L}}\p{{N}}_]|^\.[0-9]') "
+    r"not regexp_matches({before}, '[\p{{L}}\p{{N}}_]\z|[0-9]\.\z') and not regexp_matches({after}, '^[\p{{L}}\p{{N}}_]|^\.[0-9]') "
     r"and list_bool_and(list_transform(string_split(value, '.'), lambda x: x::int <= 255 and (x = '0' or x[1] <> '0')))"
 )
 
@@ -75,7 +75,7 @@ ORACLES["ipv4_by_lang"] = f'select lang, count(*) as n, count(distinct doc_id) a
 _EMAIL_OK = (
     r"length(value) <= 254 and length(split_part(value, '@', 1)) <= 64 and not regexp_matches(split_part(value, '@', 1), '^\.|\.$|\.\.') "
     r"and list_bool_and(list_transform(string_split(split_part(value, '@', -1), '.'), lambda x: length(x) <= 63 and not regexp_matches(x, '^-|-$'))) "
-    r"and not regexp_matches({before}, '[\p{{L}}\p{{N}}._%+-]$') and not regexp_matches({after}, '^[\p{{L}}\p{{N}}_-]')"
+    r"and not regexp_matches({before}, '[\p{{L}}\p{{N}}._%+-]\z') and not regexp_matches({after}, '^[\p{{L}}\p{{N}}_-]')"
 )
 
 
