@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.graph import components
-from umbra.llm.textio import cut
+from umbra.llm.textio import cut, release
 
 #: Bytes of the members' contents up to which they are broadcast to the pairs; beyond, both go by shuffle joins.
 BROADCAST_BYTES = 4 << 20
@@ -45,10 +45,12 @@ def link(
     star = rest.where("id <> leader")
     links = cut(verify(star.groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")))
     own = components(links)
+    release(members.sparkSession)
     placed = _placed(star.select("leader", "id").distinct(), own, "leader", "id")
     more = cut(verify(placed.where("c_leader <> c_id").select(F.col("leader").alias("a"), F.col("id").alias("b"))))
     links = cut(links.union(more).distinct())
     own = components(links)
+    release(members.sparkSession)
     placed = _placed(rest.select("bucket", "id"), own, "id").withColumnRenamed("c_id", "component")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     rest = cut(placed.join(mixed, "bucket"))

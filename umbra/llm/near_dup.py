@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.llm import linkage
-from umbra.llm.textio import chunks, cut, packed, unpacked, utf8
+from umbra.llm.textio import chunks, cut, packed, release, unpacked, utf8
 from umbra.llm.wordhash import U, gram_starts, grams, mix, stream, word_hashes
 
 SHINGLE = 5
@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Equal sets are one class, represented by its least doc_id, before any bucket
     is formed; so a group of copies costs one aggregation row, whatever its size.
     """
+    release(docs.sparkSession)  # of whatever ran before: the exchanges here are large
     sig = cut(signatures(docs))
     some = sig.where("doc_id is not null and n_shingles > 0")
     classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -179,6 +180,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets, "id long, set binary, low binary"))
 
+    release(docs.sparkSession)
     small = (sets.agg(F.sum(F.octet_length("set") + F.octet_length("low") + 64)).first()[0] or 0) <= linkage.BROADCAST_BYTES
 
     def verify(pairs: DataFrame) -> DataFrame:
