@@ -220,6 +220,15 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontam.keep_clean(frame(spark, rows), bench).collect()} == {1, 6, 8, 9}
 
 
+def test_decontamination_of_parts(spark):
+    """A rewritten middle does not hide the parts around it."""
+    item = [f"b{k}" for k in range(100)]
+    own = [f"c{k}" for k in range(30)]
+    rows = [(1, " ".join(item[:35] + own + item[65:])), (2, " ".join(item[:35])), (3, " ".join(item[:10] + own + item[90:]))]
+    got = decontam.contaminated(frame(spark, rows), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 0, 35, 35), (2, 7, 0, 35, 35)]
+
+
 PERSONAL = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),

@@ -6,9 +6,9 @@ positions; each of the three masks ignores another third, so a window with one
 substituted token (or several in one third) still gives an equal hash.  Hashes of
 benchmark items and documents are joined, hits on one diagonal (same item, same
 shift) are put together, and the tokens that their masks prove equal are counted:
-a document is contaminated by an item if on one diagonal at least
-``min(SPAN, 80 % of the item)`` tokens are proven and they make up 80 % of the overlap
-from the first to the last of them.
+a document is contaminated by an item if one diagonal has a stretch in which at least
+``min(SPAN, 80 % of the item)`` tokens are proven and make up 80 % of it, whatever lies
+before and behind it.
 
 Items of 8 to 12 tokens are looked up as a whole; shorter ones are too common to tell
 and are left out.
@@ -38,7 +38,8 @@ SPAN = 13
 #: Kept positions of each mask; mask j ignores the positions j, j+3, j+6, ...
 MASKS = [[i for i in range(SPAN) if i % 3 != j] for j in range(3)]
 SHORTEST = 8
-PROVEN = 0.8
+#: 80 % as a fraction.
+PROVEN = (4, 5)
 FILTER_BITS = 26
 
 _GAP = np.zeros(256, bool)
@@ -112,6 +113,32 @@ def _document_seeds(words_set: np.ndarray, lengths: list[int]):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up, down = PROVEN
+    for batch in batches:
+        keep, out = [], []
+        for i, (at, tokens) in enumerate(zip(batch.column("ats"), batch.column("item_tokens").to_pylist(), strict=True)):
+            at = at.values.to_numpy()
+            first, last = _stretch(at)
+            if last - first + 1 >= min(SPAN, -(-up * tokens // down)):
+                keep.append(i)
+                out.append((at[first], at[last] - at[first] + 1, last - first + 1))
+        start, n_tokens, n_proven = np.array(out, np.int64).reshape(-1, 3).T
+        ids = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("doc_id", "item_id")]
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(start.astype(np.int32)), pa.array(n_tokens), pa.array(n_proven)], names=["doc_id", "item_id", "start", "n_tokens", "n_proven"])
+
+
+def _stretch(at: np.ndarray) -> tuple[int, int]:
+    """First and last index of the longest stretch of sorted positions that fill 80 % of it; of several the longest in tokens, then the first."""
+    up, down = PROVEN
+    # positions a to b fill enough if down * (b - a + 1) >= up * (at[b] - at[a] + 1)
+    level = down * np.arange(len(at)) - up * at.astype(np.int64)
+    first = np.searchsorted(-np.minimum.accumulate(level), -(level + down - up))
+    last = np.arange(len(at))
+    best = np.lexsort((first, at[first] - at[last], first - last))[0]
+    return int(first[best]), int(best)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, n_tokens, n_proven``: a row for each document and item, with its longest overlap (in tokens of the document)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").dropDuplicates()
@@ -129,8 +156,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         span = span.when(F.col("kind") == j, F.array(*[F.lit(i) for i in mask]))
     proven = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_tokens", "doc_at", F.explode(span).alias("i"))
     proven = proven.select("doc_id", "item_id", "shift", "item_tokens", (F.col("doc_at") + F.col("i")).alias("at")).distinct()
-    runs = proven.groupBy("doc_id", "item_id", "shift", "item_tokens").agg(F.min("at").alias("start"), (F.max("at") - F.min("at") + 1).cast("long").alias("n_tokens"), F.count("*").alias("n_proven"))
-    runs = runs.where((F.col("n_proven") >= F.least(F.lit(SPAN), F.ceil(PROVEN * F.col("item_tokens")))) & (F.col("n_proven") >= PROVEN * F.col("n_tokens")))
+    runs = proven.groupBy("doc_id", "item_id", "shift", "item_tokens").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    runs = runs.select("doc_id", "item_id", "item_tokens", "ats").mapInArrow(_runs, "doc_id long, item_id long, start int, n_tokens long, n_proven long")
     best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_proven", "n_tokens", (-F.col("start")).alias("before"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.before")).alias("start"), "b.n_tokens", "b.n_proven")
 
