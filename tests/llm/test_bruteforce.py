@@ -229,6 +229,32 @@ def test_decontamination_of_parts(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 7, 0, 35, 35), (2, 7, 0, 35, 35)]
 
 
+def test_decontamination_counts_equal_tokens(spark):
+    """Substituted tokens cost their own place only; short items have masks too; ends of documents cut items short."""
+    sizes = {1: 25, 2: 13, 3: 18, 4: 40, 5: 8, 6: 12, 7: 10}
+    item = {i: [f"b{i}x{k}" for k in range(n)] for i, n in sizes.items()}
+    changed = {1: (12,), 2: (7,), 3: (5, 12), 4: (10, 20, 30), 5: (3,), 6: (5, 6), 7: ()}
+    rows, want = [], {}
+    for i, words in item.items():
+        words = ["other" if k in changed[i] else w for k, w in enumerate(words)]
+        rows.append((i, " ".join(["own", "start", *words, "own", "end"])))
+        want[i, i] = (2, sizes[i], sizes[i] - len(changed[i]))
+    rows += [(20, " ".join(item[7][:8])), (21, "z " + " ".join(item[2][2:])), (22, " ".join(item[7][:7])), (23, " ".join(w for k in range(0, 40, 2) for w in (item[4][k], "other")))]
+    want |= {(20, 7): (0, 8, 8), (21, 2): (1, 11, 11)}
+    got = decontam.contaminated(frame(spark, rows), spark.createDataFrame([(i, " ".join(w)) for i, w in item.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.start, r.n_tokens, r.n_proven) for r in got.collect()} == want
+
+
+def test_stretch():
+    """Against all pairs of ends."""
+    rng = random.Random(4)
+    for _ in range(300):
+        at = sorted(rng.sample(range(60), rng.randrange(1, 50)))
+        fit = [(b - a, at[b] - at[a], -a) for a in range(len(at)) for b in range(a, len(at)) if 5 * (b - a + 1) >= 4 * (at[b] - at[a] + 1)]
+        more, _, a = max(fit)
+        assert decontam._stretch(decontam.np.array(at)) == (-a, more - a)
+
+
 PERSONAL = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),

@@ -1,17 +1,20 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by spaced seeds, verified on the tokens.
 
 Tokens are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased.  A seed is a window of ``SPAN`` tokens of which a fixed mask ignores some
-positions; each of the three masks ignores another third, so a window with one
-substituted token (or several in one third) still gives an equal hash.  Hashes of
-benchmark items and documents are joined, hits on one diagonal (same item, same
-shift) are put together, and the tokens that their masks prove equal are counted:
-a document is contaminated by an item if one diagonal has a stretch in which at least
-``min(SPAN, 80 % of the item)`` tokens are proven and make up 80 % of it, whatever lies
-before and behind it.
-
-Items of 8 to 12 tokens are looked up as a whole; shorter ones are too common to tell
-and are left out.
+positions.  Three masks ignore a third each (every third position), six ignore a half
+each (two of every four), so a window with any two substituted tokens, or with several
+in one third, still gives an equal hash.  Hashes of benchmark items and documents are
+joined; equal ones propose a diagonal (document, item, shift).  On it the tokens of
+both are compared one by one: a document is contaminated by an item if the diagonal has
+a stretch in which at least ``min(SPAN, 80 % of the item)`` tokens are equal and make up
+80 % of it, whatever lies before and behind it.
+
+Items of 8 to 12 tokens have masked windows of their own length; these let pass as many
+substituted tokens as 80 % allows.  Shorter items are too common to tell and are left
+out.  Documents are padded by ``PAD`` tokens, so items cut short at their ends are seen.
+An overlap is missed if every window in it has three or more substitutions that no mask
+covers.
 
 Scale: a document's seeds leave the scan only if a two-hash Bloom filter of the
 benchmark's seeds lets them pass.  The filter has a fixed size (2**26 bits, 8 MB)
@@ -25,6 +28,7 @@ rows without doc_id are not reported by contaminated() and are kept by keep_clea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +39,23 @@ from umbra.llm.textio import chunks, cut, packed, unpacked, utf8
 from umbra.llm.wordhash import U, byte_table, gram_starts, grams, mix, word_hashes
 
 SPAN = 13
-#: Kept positions of each mask; mask j ignores the positions j, j+3, j+6, ...
-MASKS = [[i for i in range(SPAN) if i % 3 != j] for j in range(3)]
 SHORTEST = 8
+PAD = 2
+
+
+def _masks(n: int) -> list[list[int]]:
+    """Kept positions of each mask of a window of n tokens."""
+    thirds = [[i for i in range(n) if i % 3 != j] for j in range(3)]
+    halves = [[i for i in range(n) if i % 4 in kept] for kept in combinations(range(4), 2)]
+    return thirds if n < 10 else halves if n < SPAN else thirds + halves
+
+
+MASKS = {n: _masks(n) for n in range(SHORTEST, SPAN + 1)}
 #: 80 % as a fraction.
 PROVEN = (4, 5)
 FILTER_BITS = 26
+#: Up to so many seeds are broadcast; a larger benchmark goes by shuffle joins.
+BROADCAST_SEEDS = 200_000
 
 _GAP = np.zeros(256, bool)
 _GAP[:128] = True
@@ -54,13 +69,11 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(words: np.ndarray, ranges: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, positions, hashes); kind: mask number, or minus the length of a whole short item."""
-    at = np.flatnonzero(gram_starts(ranges, SPAN))
-    for j, mask in enumerate(MASKS):
-        yield j, at, grams(words, SPAN, seed=200 + j, keep=mask)[at]
+    """(length of the window, positions, hashes)."""
     for n in lengths:
         at = np.flatnonzero(gram_starts(ranges, n))
-        yield -n, at, grams(words, n, seed=300 + n)[at]
+        for j, mask in enumerate(MASKS[n]):
+            yield n, at, grams(words, n, seed=100 * n + j, keep=mask)[at]
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,17 +81,24 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("item_id").cast(pa.int64())
         words, ranges = _tokens(batch)
         sizes = np.diff(ranges)
-        for kind, at, hashes in _seeds(words, ranges, list(range(SHORTEST, SPAN))):
+        for n, at, hashes in _seeds(words, ranges, list(MASKS)):
             item = np.searchsorted(ranges, at, side="right") - 1
-            fits = sizes[item] == -kind if kind < 0 else np.ones(len(at), bool)
+            fits = np.minimum(sizes[item], SPAN) == n
             item, at, hashes = item[fits], at[fits], hashes[fits]
             if len(at):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), ids.take(pa.array(item)), pa.array((at - ranges[item]).astype(np.int32)), pa.array(np.full(len(at), kind, np.int32)), pa.array(sizes[item].astype(np.int32))],
-                    names=["seed", "item_id", "item_at", "kind", "item_tokens"],
+                    [pa.array(hashes.view(np.int64)), ids.take(pa.array(item)), pa.array((at - ranges[item]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32))],
+                    names=["seed", "item_id", "item_at", "span"],
                 )
 
 
+def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        words, ranges = _tokens(batch)
+        tokens = [words[lo:hi].tobytes() for lo, hi in zip(ranges[:-1], ranges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("item_id").cast(pa.int64()), pa.array(tokens, pa.binary())], names=["item_id", "item"])
+
+
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = h.astype(U)
     return (h >> U(64 - FILTER_BITS)).astype(np.int64), (mix(h) >> U(64 - FILTER_BITS)).astype(np.int64)
@@ -99,30 +119,51 @@ def _document_seeds(words_set: np.ndarray, lengths: list[int]):
         for batch in chunks(batches):
             ids = batch.column("doc_id").cast(pa.int64())
             words, ranges = _tokens(batch)
-            for kind, at, hashes in _seeds(words, ranges, lengths):
+            text = np.repeat(np.arange(batch.num_rows), np.diff(ranges))
+            wide = ranges + 2 * PAD * np.arange(len(ranges))
+            padded = np.zeros(int(wide[-1]), U)
+            padded[np.arange(len(words)) + PAD * (2 * text + 1)] = words
+            seeds, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for _, at, hashes in _seeds(padded, wide, lengths):
                 hit = np.flatnonzero(held((hashes >> U(64 - FILTER_BITS)).astype(np.int64)))
                 hit = hit[held(_bits(hashes[hit])[1])]
-                if len(hit):
-                    at = at[hit]
-                    doc = np.searchsorted(ranges, at, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes[hit].view(np.int64)), ids.take(pa.array(doc)), pa.array((at - ranges[doc]).astype(np.int32)), pa.array(np.full(len(at), kind, np.int32))],
-                        names=["seed", "doc_id", "doc_at", "kind"],
-                    )
+                seeds.append(hashes[hit])
+                places.append(at[hit])
+            seed, at = np.concatenate(seeds), np.concatenate(places)
+            if len(at):
+                doc = np.searchsorted(wide, at, side="right") - 1
+                order = np.argsort(doc, kind="stable")
+                seed, at, doc = seed[order], at[order], doc[order]
+                docs, first = np.unique(doc, return_index=True)
+                offsets = pa.array(np.append(first, len(doc)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array(docs)),
+                        pa.array([words[ranges[d] : ranges[d + 1]].tobytes() for d in docs], pa.binary()),
+                        pa.ListArray.from_arrays(offsets, pa.array(seed.view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array((at - wide[doc] - PAD).astype(np.int32))),
+                    ],
+                    names=["doc_id", "doc", "seeds", "ats"],
+                )
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The longest stretch of each diagonal, where it is long enough."""
     up, down = PROVEN
     for batch in batches:
         keep, out = [], []
-        for i, (at, tokens) in enumerate(zip(batch.column("ats"), batch.column("item_tokens").to_pylist(), strict=True)):
-            at = at.values.to_numpy()
+        columns = (batch.column(c).to_pylist() for c in ("doc", "item", "doc_from", "item_tokens"))
+        for i, (doc, item, doc_from, tokens) in enumerate(zip(*columns, strict=True)):
+            at = np.flatnonzero(np.frombuffer(doc, U) == np.frombuffer(item, U))
+            least = min(SPAN, -(-up * tokens // down))
+            if len(at) < least:
+                continue
             first, last = _stretch(at)
-            if last - first + 1 >= min(SPAN, -(-up * tokens // down)):
+            if last - first + 1 >= least:
                 keep.append(i)
-                out.append((at[first], at[last] - at[first] + 1, last - first + 1))
+                out.append((doc_from + at[first], at[last] - at[first] + 1, last - first + 1))
         start, n_tokens, n_proven = np.array(out, np.int64).reshape(-1, 3).T
         ids = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("doc_id", "item_id")]
         yield pa.RecordBatch.from_arrays([*ids, pa.array(start.astype(np.int32)), pa.array(n_tokens), pa.array(n_proven)], names=["doc_id", "item_id", "start", "n_tokens", "n_proven"])
@@ -140,24 +181,28 @@ def _stretch(at: np.ndarray) -> tuple[int, int]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, start, n_tokens, n_proven``: a row for each document and item, with its longest overlap (in tokens of the document)."""
+    """``doc_id, item_id, start, n_tokens, n_proven``: a row for each document and item, with its longest overlap (in tokens of the document); n_proven of its tokens are equal."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").dropDuplicates()
-    seeds = cut(items.mapInArrow(_item_seeds, "seed long, item_id long, item_at int, kind int, item_tokens int"))
+    seeds = cut(items.mapInArrow(_item_seeds, "seed long, item_id long, item_at int, span int"))
     # at most 2**20 rows of 64 bits come to the driver, however large the benchmark is
     words_set = np.zeros(1 << (FILTER_BITS - 6), U)
     for row in seeds.select("seed").mapInArrow(_filter_bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         words_set[row["word"]] = U(row["bits"] & 0xFFFFFFFFFFFFFFFF)
-    lengths = sorted(-r["kind"] for r in seeds.where("kind < 0").select("kind").distinct().collect())
+    lengths = sorted(r["span"] for r in seeds.select("span").distinct().collect())
+    small = F.broadcast if seeds.count() <= BROADCAST_SEEDS else lambda df: df
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    found = rows.mapInArrow(_document_seeds(words_set, lengths), "seed long, doc_id long, doc_at int, kind int").distinct()
-    hits = found.join(seeds, ["seed", "kind"])
-    span = F.when(F.col("kind") < 0, F.sequence(F.lit(0), -F.col("kind") - 1))
-    for j, mask in enumerate(MASKS):
-        span = span.when(F.col("kind") == j, F.array(*[F.lit(i) for i in mask]))
-    proven = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_tokens", "doc_at", F.explode(span).alias("i"))
-    proven = proven.select("doc_id", "item_id", "shift", "item_tokens", (F.col("doc_at") + F.col("i")).alias("at")).distinct()
-    runs = proven.groupBy("doc_id", "item_id", "shift", "item_tokens").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    runs = runs.select("doc_id", "item_id", "item_tokens", "ats").mapInArrow(_runs, "doc_id long, item_id long, start int, n_tokens long, n_proven long")
+    # documents with a hit, with their tokens; rows of one doc_id can meet each other's diagonals, which are verified like any
+    found = cut(rows.mapInArrow(_document_seeds(words_set, lengths), "doc_id long, doc binary, seeds array<long>, ats array<int>"))
+    hits = found.select("doc_id", F.explode(F.arrays_zip("seeds", "ats")).alias("h")).select("doc_id", F.col("h.seeds").alias("seed"), F.col("h.ats").alias("at"))
+    diagonals = hits.join(small(seeds), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    pairs = diagonals.join(small(items.mapInArrow(_item_tokens, "item_id long, item binary")), "item_id").join(found.select("doc_id", "doc"), "doc_id")
+    doc_from, item_from = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
+    both = F.least(F.octet_length("doc") - 8 * doc_from, F.octet_length("item") - 8 * item_from)
+    overlaps = pairs.select(
+        "doc_id", "item_id", doc_from.alias("doc_from"), (F.octet_length("item") / 8).cast("int").alias("item_tokens"),
+        F.substring("doc", 8 * doc_from + 1, both).alias("doc"), F.substring("item", 8 * item_from + 1, both).alias("item"),
+    )
+    runs = overlaps.mapInArrow(_verified, "doc_id long, item_id long, start int, n_tokens long, n_proven long")
     best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_proven", "n_tokens", (-F.col("start")).alias("before"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.before")).alias("start"), "b.n_tokens", "b.n_proven")
 
