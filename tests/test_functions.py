@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import checks
 from umbra.functions import text as t
-from umbra.operators import audit, dictionary, metrics, redact, residency, structured
+from umbra.operators import audit, dictionary, metrics, probe, redact, residency, structured
 from umbra.sources import documents as extract
 from umbra.streaming import rehydrate, sse
 
@@ -141,6 +141,24 @@ def test_dictionary(spark):
     assert {r.token for r in dictionary.near_hits(near, "id", "text", terms).where("term = 'Schmidt'").collect()} == {"schmdit", "schmitt", "schmidt"}
 
 
+def test_hidden_identifiers(spark, sf_dir):
+    """Every window of every document, long or of unknown length; closing gaps shows the shredded address only."""
+    from umbra.plans import catalogue
+
+    long = "word " * 600
+    shredded = long + "E-M ail : a nna .sc hmi dt@ nor dli cht.d e"
+    df = spark.createDataFrame([(1, shredded), (2, long + "anna@nordlicht.de"), (3, long), (4, None), (5, "a\u2800b\n\n c")], "id int, text string")
+    rows = probe.probed(df, "id", "text").collect()
+    texts = {r.id: r.text for r in df.collect()}
+    for i, text in texts.items():
+        assert sorted(r.position for r in rows if r.id == i) == list(range(0, max(len(text or ""), 1), 120))
+    assert {r.id for r in rows if r.n_closed > r.n_open} == {1} and sum(r.n_open for r in rows if r.id == 2) > 0
+    assert [(r.n_chars, r.closed_chars) for r in rows if r.id == 5] == [(7, 4)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = catalogue.QUERIES["hidden_identifiers"](spark, sf_dir).select("doc_id", "position").collect()
+    assert sorted(map(tuple, got)) == sorted((d.doc_id, at) for d in docs for at in range(0, max(len(d.text or ""), 1), 120))
+
+
 def test_endpoints(spark):
     df = spark.createDataFrame([("api.openai.com",), ("a.b.openai.azure.com",), ("openai.azure.com",), ("nowhere.example",), (None,)], "host string")
     assert [r.endpoint_id for r in residency.with_endpoint(df, "host").collect()] == ["openai.api", "azure.openai", None, None, None]

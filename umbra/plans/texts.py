@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import text as t
-from umbra.operators import dictionary, structured
+from umbra.operators import dictionary, probe, structured
 from umbra.sources import documents as extract
 from umbra.streaming import rehydrate, sse
 
@@ -108,7 +108,7 @@ select doc_id, case when solid < 16 then 'too few characters' when pages is not
 
 @query
 def probe_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding windows of 240 characters, 120 apart, with the address signs that closing their gaps leaves."""
+    """Sliding windows of 240 characters, 120 apart, of documents under 2,000 characters only, with their address signs; ``hidden_identifiers`` reads all documents."""
     rows = table(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(120))).alias("position"), "text")
     window = F.substring("text", F.col("position") + 1, F.lit(240))
     return rows.select("doc_id", "position", F.char_length(F.regexp_replace(window, "[ \t]", "")).alias("closed_chars"), F.regexp_count(window, F.lit("@")).alias("signs"))
@@ -120,6 +120,12 @@ select doc_id, position, length(regexp_replace(substr(text, position + 1, 240),
 """
 
 
+@query
+def hidden_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of all documents with the findings before and after closing their gaps."""
+    return probe.probed(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query
 def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark items as terms in the documents."""
