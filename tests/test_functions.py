@@ -141,6 +141,15 @@ def test_dictionary(spark):
     assert {r.token for r in dictionary.near_hits(near, "id", "text", terms).where("term = 'Schmidt'").collect()} == {"schmdit", "schmitt", "schmidt"}
 
 
+def test_fuzzy_runs(spark):
+    """Terms of two words, swapped and with an initial; words too far apart and edited initials do not match."""
+    texts = {1: "in Saudi Arabja now", 2: "arabia, saudi", 3: "s. Arabia", 4: "Arabia S", 5: "s arabja", 6: "saudi ---- arabia", 7: "Republic of  Northern Upper Galia", 8: None, 9: "sarabia", 10: "unrelated words"}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    terms = spark.createDataFrame([("SAUDI ARABIA",), ("Republic of Northern Upper Galla",)], "term string")
+    got = {(r.id, r.token, r.n) for r in dictionary.near_hits(df, "id", "text", terms, longest=5).collect()}
+    assert got == {(1, "saudi arabja", 1), (2, "arabia saudi", 1), (3, "s arabia", 1), (4, "arabia s", 1), (7, "republic of northern upper galia", 1)}
+
+
 def test_hidden_identifiers(spark, sf_dir):
     """Every window of every document, long or of unknown length; closing gaps shows the shredded address only."""
     from umbra.plans import catalogue

@@ -143,7 +143,7 @@ select term, count(*)::bigint as n, count(distinct doc_id) as n_docs from words
 
 @query
 def fuzzy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer names misspelt by one edit, found again by blocking."""
+    """Nation names misspelt by one edit, found again by blocking; ``fuzzy_document_hits`` reads documents."""
     names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("term"))
     wrong = F.array(F.col("n_name"), F.concat(F.substring("n_name", 1, 2), F.lit("x"), F.substring("n_name", 3, 40)), F.concat(F.substring("n_name", 1, 2), F.substring("n_name", 4, 40)), F.concat(F.substring("n_name", 2, 1), F.substring("n_name", 1, 1), F.substring("n_name", 3, 40)), F.reverse("n_name"))
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(wrong, " . ").alias("text"))
@@ -159,6 +159,14 @@ select n_nationkey, term, token, n from c join terms on length(folded) >= 6 and
 """
 
 
+@query
+def fuzzy_document_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations and parts in the documents, in runs of up to five words and with one edit."""
+    names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("term")).union(table(spark, sf_dir, "part").select(F.lower("p_name"))).distinct()
+    found = dictionary.near_hits(table(spark, sf_dir, "documents"), "doc_id", "text", names, longest=5)
+    return found.groupBy("term", "token").agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
 @query
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of chat requests by the path rules that select them."""
