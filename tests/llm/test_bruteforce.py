@@ -206,6 +206,20 @@ def test_line_frequency(spark):
     assert all(out[200 + i].kept for i in range(40)) and out[300].n_boilerplate_words == 0
 
 
+@pytest.mark.parametrize("second", [None, "another text of the same doc_id " * 3])
+def test_near_duplicate_of_a_repeated_row(spark, second):
+    """A doc_id on two rows links with its near-duplicate though the leaders of all their buckets are similar to neither."""
+    rng = random.Random(12)
+    text = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(100):
+        at = rng.randrange(256)
+        rows.append((i, " ".join(text[:at] + [f"l{i}x{k}" for k in range(44)] + text[at + 44 :])))
+    rows += [(1001, " ".join(text)), (1001, second or " ".join(text)), (1002, " ".join([*text[:-1], "end"]))]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows))[0].collect()}
+    assert got == {i: i for i in range(100)} | {1001: 1001, 1002: 1001}
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     items = [(i, " ".join(f"b{i}x{k}" for k in range(n))) for i, n in enumerate((40, 15, 9, 4, 200))]

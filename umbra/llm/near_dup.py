@@ -179,6 +179,14 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets, "id long, set binary, low binary"))
+    # a doc_id on several rows keeps each set once; with several sets it has no size of its own
+    repeated = cut(sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    several = repeated
+    if not repeated.isEmpty():
+        few = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+        once = cut(sets.join(few, "id", "left_semi").dropDuplicates(["id", "set"]))
+        several = cut(once.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+        sets = cut(sets.join(few, "id", "left_anti").unionByName(once))
 
     release(docs.sparkSession)
     small = (sets.agg(F.sum(F.octet_length("set") + F.octet_length("low") + 64)).first()[0] or 0) <= linkage.BROADCAST_BYTES
@@ -197,13 +205,15 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         each = own.groupBy("id", part).agg(F.count("*").alias("n")).join(alone, ["id", "part"], "left")
         whole = each.groupBy("id").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("part", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int")))).alias("shared"))
         filled = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("shared", i), F.lit(0)))
-        return whole.select("id", F.struct("size", filled.alias("shared")).alias("profile"))
+        whole = whole.join(several.select("id", F.lit(True).alias("several")), "id", "left")
+        return whole.select("id", F.struct("size", filled.alias("shared"), F.coalesce("several", F.lit(False)).alias("several")).alias("profile"))
 
     def compatible(a: Column, b: Column) -> Column:
-        """The sets could have enough in common: no part has more than the poorer document shares there."""
+        """The sets could have enough in common: no part has more than the poorer document shares there.  A doc_id with several sets always could."""
         up, down = THRESHOLD
         most = F.aggregate(F.zip_with(a["shared"], b["shared"], lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-        return (F.least(a["size"], b["size"]) * down >= F.greatest(a["size"], b["size"]) * up) & (most * (up + down) >= (a["size"] + b["size"]) * up)
+        bounded = (F.least(a["size"], b["size"]) * down >= F.greatest(a["size"], b["size"]) * up) & (most * (up + down) >= (a["size"] + b["size"]) * up)
+        return a["several"] | b["several"] | bounded
 
     links, found = linkage.link(members, verify, profile, compatible)
     # several classes can hold one doc_id (repeated rows), so a class goes with its rep and every doc_id with its classes
