@@ -1,18 +1,20 @@
 """Line dedup by a segment-partition edit join.
 
-Lines (\\n-split, with at least one word) are equal or near: within ``EDITS`` insertions,
-deletions or substitutions of code points.  A line is cut into ``EDITS + 1`` even
-segments; by the pigeonhole principle a near line holds one of them unchanged, at a
-position that the two lengths bound.  Index keys hash (line length, segment number,
-segment); a line probes the keys of its own length and of the ``EDITS`` lengths below
+Lines (\\n-split, with at least one word) are equal or near: within one insertion,
+deletion or substitution of a code point for every ``EDIT_EVERY`` code points of the
+shorter line, at most ``EDITS``.  So the number of edits follows the length (under
+``EDIT_EVERY`` code points none, and equal lines only).  For k edits a line is cut into
+k + 1 even segments; by the pigeonhole principle a near line holds one of them unchanged,
+at a position that the two lengths bound.  Index keys hash (k, line length, segment
+number, segment); a line probes the keys of its own length and of the k lengths below
 with the substrings that the multi-match-aware window allows, which covers its own
 index keys too.  Lines that share a key are compared by banded bit-parallel edit
 distance.  Linked lines form classes (connected components); of each class the line
-with the least (doc_id, line number) stays.  Lines under ``NEAR_CHARS`` characters are
-only matched when equal.
+with the least (doc_id, line number) stays.
 
-Scale: lines are identified by hashes (a class joins equal lines by 128 bits, near lines
-by 64); only lines that share a key with a different line are fetched as text.  Pairs
+Scale: lines are identified by hashes of 128 bits; the link table uses the first 64 as
+node, and a line that shares these but not the others with a linked line is not part of
+its class.  Only lines that share a key with a different line are fetched as text.  Pairs
 that only one key brings together must have close counts of characters before they are
 compared.  Repeated lines are dropped from the probes within a worker's
 chunk, equal lines aggregate with map-side combine, and joins are equi-joins that
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.llm import linkage
-from umbra.llm.textio import chunks, cut, packed, release, utf8
+from umbra.llm.textio import chunks, cut, drop, packed, utf8
 from umbra.llm.wordhash import U, mix, powers, stream
 
 EDITS = 2
-NEAR_CHARS = 24
+EDIT_EVERY = 12
 #: Classes of code points that the profile of a line counts.
 PROFILE = 32
 #: Up to so many shared buckets or line ids (8 bytes each) are sent to the workers of the next pass; more go by a shuffle join.
@@ -141,31 +143,37 @@ class Lines:
     def line(self, i: int) -> str:
         return self.raw[self.byte_at[self.first[i]] : self.byte_at[self.last[i]]].decode("utf-8")
 
-    def keys(self, edits: int, near_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, edits: int, every: int) -> tuple[np.ndarray, np.ndarray]:
         """Bucket keys of the chunk's different lines, and the id of each key's line."""
-        long = np.flatnonzero(self.last - self.first >= near_chars)
-        _, once = np.unique(self.id[long], return_index=True)
-        long = long[once]
-        base, ids = self.first[long], self.id[long]
-        size = self.last[long] - base
+        _, once = np.unique(self.id, return_index=True)
+        size = (self.last - self.first)[once]
+        out, of = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for k in range(1, edits + 1):
+            # the shorter line of a pair with k edits has k * every code points or more, and under (k + 1) * every unless k is the most
+            mine = once[(size >= k * every) & ((k == edits) | (size < (k + 1) * every + k))]
+            self._keys(mine, k, (k + 1) * every if k < edits else None, out, of)
+        return np.concatenate(out).view(np.int64), np.concatenate(of)
+
+    def _keys(self, lines: np.ndarray, edits: int, below: int | None, out: list[np.ndarray], of: list[np.ndarray]) -> None:
+        base, ids = self.first[lines], self.id[lines]
+        size = self.last[lines] - base
         parts = edits + 1
-        salt = stream(41, parts)
-        out, of = [], []
+        salt = stream(41 + 10 * edits, parts)
         with np.errstate(over="ignore"):
             for shorter in range(edits + 1):
                 target = size - shorter
                 small, large = target // parts, target % parts
+                fits = target < (1 << 62 if below is None else below)
                 for i in range(parts):
                     length = small + (i >= parts - large)
                     start = i * small + np.maximum(0, i - (parts - large))
                     for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                         at = start + move
-                        ok = (length > 0) & (at >= 0) & (at + length <= size)
+                        ok = fits & (length > 0) & (at >= 0) & (at + length <= size)
                         s = (base + at)[ok]
                         body = (self.sums[s + length[ok]] - self.sums[s]) * self.inverse[s]
                         out.append(mix(mix(body + salt[i]) + target[ok].astype(U)))
                         of.append(ids[ok])
-        return np.concatenate(out).view(np.int64), np.concatenate(of)
 
     def profile(self, i: int) -> np.ndarray:
         """How often code points of each class modulo PROFILE occur in line i."""
@@ -178,12 +186,12 @@ def _held(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
 
 
-def _probes(edits: int, near_chars: int, wanted: np.ndarray | None = None):
+def _probes(edits: int, every: int, wanted: np.ndarray | None = None):
     """Rows (bucket, id); wanted: sorted buckets, others stay in the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            keys, ids = Lines(batch).keys(edits, near_chars)
+            keys, ids = Lines(batch).keys(edits, every)
             if wanted is not None:
                 ok = _held(wanted, keys)
                 keys, ids = keys[ok], ids[ok]
@@ -192,19 +200,19 @@ def _probes(edits: int, near_chars: int, wanted: np.ndarray | None = None):
     return run
 
 
-_TEXT = pa.struct([("id", pa.int64()), ("line", pa.string()), ("profile", pa.list_(pa.int32()))])
+_TEXT = pa.struct([("id", pa.int64()), ("id2", pa.int64()), ("line", pa.string()), ("profile", pa.list_(pa.int32()))])
 
 
-def _read(wanted: np.ndarray | None, near_chars: int):
+def _read(wanted: np.ndarray | None, every: int):
     """A row per document: number, id and id2 of its lines, and the wanted lines' texts and profiles (None: of all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             own = Lines(batch)
             edges = np.searchsorted(own.text, np.arange(batch.num_rows + 1)).astype(np.int32)
-            long = own.last - own.first >= near_chars
+            long = own.last - own.first >= every
             take = np.flatnonzero(long & _held(wanted, own.id) if wanted is not None else long)
-            texts = pa.array([{"id": int(own.id[i]), "line": own.line(i), "profile": own.profile(i).tolist()} for i in take], _TEXT)
+            texts = pa.array([{"id": int(own.id[i]), "id2": int(own.id2[i]), "line": own.line(i), "profile": own.profile(i).tolist()} for i in take], _TEXT)
             lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (own.number.astype(np.int32), own.id, own.id2)]
             text_edges = np.searchsorted(own.text[take], np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, pa.ListArray.from_arrays(pa.array(text_edges), texts)], names=["doc_id", "number", "id", "id2", "texts"])
@@ -212,7 +220,7 @@ def _read(wanted: np.ndarray | None, near_chars: int):
     return run
 
 
-READ_SCHEMA = "doc_id long, number array<int>, id array<long>, id2 array<long>, texts array<struct<id:long,line:string,profile:array<int>>>"
+READ_SCHEMA = "doc_id long, number array<int>, id array<long>, id2 array<long>, texts array<struct<id:long,id2:long,line:string,profile:array<int>>>"
 
 
 def _sorted_longs(rows: DataFrame, most: int) -> np.ndarray | None:
@@ -222,49 +230,52 @@ def _sorted_longs(rows: DataFrame, most: int) -> np.ndarray | None:
     return np.sort(np.array([r[0] for r in rows.toLocalIterator()], np.int64))
 
 
-def classes(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines read (a row per document), links ``(a, b)`` between near lines' ids, components ``(id, component)``."""
+def classes(docs: DataFrame, edits: int = EDITS, every: int = EDIT_EVERY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines read (a row per document), links ``(a, b)`` between near lines' ids, components ``(id, id2, component)``."""
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "bucket long, id long"
-    probes = named.mapInArrow(_probes(edits, near_chars), schema)
+    probes = named.mapInArrow(_probes(edits, every), schema)
     shared = cut(probes.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("bucket"))
-    release(docs.sparkSession)
     buckets = _sorted_longs(shared, SENT_KEYS)
-    probes = named.mapInArrow(_probes(edits, near_chars, buckets), schema)
-    members = cut((probes if buckets is not None else probes.join(shared, "bucket")).distinct())
+    probes = named.mapInArrow(_probes(edits, every, buckets), schema)
+    members = cut((probes if buckets is not None else probes.join(shared, "bucket")).distinct(), shared)
     ids = cut(members.select("id").distinct())
     wanted = _sorted_longs(ids, SENT_KEYS)
-    read = named.mapInArrow(_read(wanted, near_chars), READ_SCHEMA)
-    read = cut(read)
-    texts = read.select(F.explode("texts").alias("t")).select("t.*").dropDuplicates(["id"])
-    texts = cut(texts if wanted is not None else texts.join(ids, "id", "left_semi"))
+    read = cut(named.mapInArrow(_read(wanted, every), READ_SCHEMA))
+    texts = read.select(F.explode("texts").alias("t")).select("t.*")
+    texts = texts if wanted is not None else texts.join(ids, "id", "left_semi")
+    texts = cut(texts.groupBy("id").agg(F.min_by(F.struct("id2", "line", "profile"), "id2").alias("t")).select("id", "t.*"), ids)
 
     @F.pandas_udf(T.BooleanType())
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within(x, y, edits) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([within(x, y, min(edits, min(len(x), len(y)) // every)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     small = (texts.agg(F.sum(F.octet_length("line") + 64)).first()[0] or 0) <= linkage.BROADCAST_BYTES
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = linkage.sides(texts, "line", small)
-        return pairs.join(a, "a").join(b, "b").where(near("of_a", "of_b")).select("a", "b").distinct()
+        return pairs.join(a, "a").join(b, "b").where(near("of_a", "of_b")).select("a", "b")
 
     def compatible(a: Column, b: Column) -> Column:
         off = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
         return off <= 2 * edits  # an edit changes at most two counts by one
 
-    return read, *linkage.link(members, verify, lambda ids: texts.join(ids, "id", "left_semi").select("id", "profile"), compatible)
+    links, found = linkage.link(members, verify, lambda ids: texts.join(ids, "id", "left_semi").select("id", "profile"), compatible)
+    found = cut(found.join(texts.select("id", "id2"), "id").select("id", "id2", "component"), texts)
+    return read, links, found
 
 
-def repeats(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, edits: int = EDITS, every: int = EDIT_EVERY) -> tuple[DataFrame, DataFrame]:
     """``doc_id, line_no, class_id, first_doc, first_line`` of each line that an earlier line of its class precedes; lines read."""
-    read, _, found = classes(docs, edits, near_chars)
+    read, links, found = classes(docs, edits, every)
+    drop(links)
+    read = cut(read.drop("texts"), read)
     rows = read.select("doc_id", F.explode(F.arrays_zip("number", "id", "id2")).alias("l")).select("doc_id", F.col("l.number").alias("line_no"), "l.id", "l.id2")
     equal = rows.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    equal = equal.join(found, "id", "left").where("n > 1 or component is not null").select("id", "id2", F.coalesce("component", "id").alias("class_id"), F.col("component").isNotNull().alias("linked"), "first")
-    equal = cut(equal)
+    equal = equal.join(found, ["id", "id2"], "left").where("n > 1 or component is not null").select("id", "id2", F.coalesce("component", "id").alias("class_id"), F.col("component").isNotNull().alias("linked"), "first")
+    equal = cut(equal, found)
     heads = equal.where("linked").groupBy("class_id").agg(F.min("first").alias("head"))
-    heads = equal.join(heads.withColumn("linked", F.lit(True)), ["class_id", "linked"], "left").select("id", "id2", "class_id", F.coalesce("head", "first").alias("head"))
+    heads = cut(equal.join(heads.withColumn("linked", F.lit(True)), ["class_id", "linked"], "left").select("id", "id2", "class_id", F.coalesce("head", "first").alias("head")), equal)
     out = rows.join(heads, ["id", "id2"]).where("struct(doc_id, line_no) <> head")
     return out.select("doc_id", "line_no", "class_id", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line")), read
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.llm import linkage
-from umbra.llm.textio import chunks, cut, packed, release, unpacked, utf8
+from umbra.llm.textio import chunks, cut, drop, packed, unpacked, utf8
 from umbra.llm.wordhash import U, gram_starts, grams, mix, stream, word_hashes
 
 SHINGLE = 5
@@ -165,20 +165,19 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Equal sets are one class, represented by its least doc_id, before any bucket
     is formed; so a group of copies costs one aggregation row, whatever its size.
     """
-    release(docs.sparkSession)  # of whatever ran before: the exchanges here are large
     sig = cut(signatures(docs))
     some = sig.where("doc_id is not null and n_shingles > 0")
-    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    key = ["s1", "s2", "n_shingles"]
+    classes = cut(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     banded = some.select(F.explode("bands").alias("bucket"), "doc_id", "s1")
     # only buckets with different sets go on, and of each set its representative
     shared = banded.groupBy("bucket").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x < y").select("bucket")
     members = banded.join(shared, "bucket").select("bucket", F.col("doc_id").alias("id")).distinct()
     members = cut(members.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-    wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    ids = cut(members.select(F.col("id").alias("doc_id")).distinct())
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "id long, set binary, low binary"))
+    sets = cut(texts.mapInArrow(_sets, "id long, set binary, low binary"), ids)
     # a doc_id on several rows keeps each set once; with several sets it has no size of its own
     repeated = cut(sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     several = repeated
@@ -186,16 +185,15 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         few = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
         once = cut(sets.join(few, "id", "left_semi").dropDuplicates(["id", "set"]))
         several = cut(once.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
-        sets = cut(sets.join(few, "id", "left_anti").unionByName(once))
+        sets = cut(sets.join(few, "id", "left_anti").unionByName(once), sets, once)
 
-    release(docs.sparkSession)
     small = (sets.agg(F.sum(F.octet_length("set") + F.octet_length("low") + 64)).first()[0] or 0) <= linkage.BROADCAST_BYTES
 
     def verify(pairs: DataFrame) -> DataFrame:
         for udf, column in ((_near, "low"), (_similar, "set")):
             a, b = linkage.sides(sets, column, small)
-            pairs = pairs.join(a, "a").join(b, "b").where(udf("of_a", "of_b")).select("a", "b").distinct()
-        return pairs
+            pairs = pairs.join(a, "a").join(b, "b").where(udf("of_a", "of_b")).select("a", "b")
+        return pairs if several is repeated and repeated.isEmpty() else pairs.distinct()
 
     def profile(ids: DataFrame) -> DataFrame:
         """Set size, and per part of the hash space how many shingles the document shares with any other of these documents."""
@@ -216,9 +214,13 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return a["several"] | b["several"] | bounded
 
     links, found = linkage.link(members, verify, profile, compatible)
-    # several classes can hold one doc_id (repeated rows), so a class goes with its rep and every doc_id with its classes
-    ids = some.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"]).join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    ids = ids.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    drop(sets)
+    # a document alone with its set is its own representative, so only classes of several rows are joined; of the large ones,
+    # which adaptive execution can split, each has one row here
+    linked = found.withColumnRenamed("id", "rep")
+    placed = cut(classes.join(linked, "rep", "left").where("n > 1 or component is not null").select(*key, F.coalesce("component", "rep").alias("component")), classes)
+    # several classes can hold one doc_id (repeated rows), so every doc_id goes with all its classes
+    ids = some.join(placed, key).groupBy("doc_id").agg(F.min("component").alias("component_id"))
     out = sig.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), links

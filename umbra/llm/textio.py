@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import time
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +21,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share.
+#: Shuffle files of a step go when its execution ends, instead of when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The cluster names the folder in ``spark.checkpoint.dir``; one of our own is
-    set only where that is unset (tests, local runs).
+
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """The cluster names the folder in ``spark.checkpoint.dir``; a local session without one gets its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="umbra-")
+    context.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame, *superseded: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` to the checkpoint folder and go on from there.
+
+    The shuffle files of the step are dropped at its end.  ``superseded``: earlier cuts
+    that nothing reads from here on; their files are deleted.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/umbra-checkpoints")
-    return df.checkpoint(eager=True)
+    _checkpoint_folder(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        out = df.select("*").checkpoint(eager=True)  # a plan of its own, so that the setting holds for it
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    drop(*superseded)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of cuts that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if path.isDefined():
+            at = context._jvm.org.apache.hadoop.fs.Path(path.get())
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -42,18 +75,6 @@ def unpacked(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.select("row.*", *more)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
-
-    The cleaner follows the garbage collectors of both sides, which may not run for
-    long after a large exchange has been read for the last time.
-    """
-    gc.collect()
-    time.sleep(1.2)  # the gateway tells the JVM of dropped objects about once a second
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values and the offset of each (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
