@@ -4,26 +4,31 @@ A document is factored against the documents of smaller doc_id.  The reference i
 indexed by blocks with content-defined borders: every window of ``WINDOW``
 consecutive words picks the word run of length ``ANCHOR`` with the least hash as its
 anchor, and the consecutive windows that pick the same anchor position form a block
-(12 words and one per window).  Equal windows pick equal anchors, so every repeat of
-``WINDOW`` words shares an anchor with its source.
-
-1. All blocks go into an index by anchor that keeps the least and greatest doc_id
-   and whether the anchor has several different blocks.
-2. A block that a smaller document has too is a copied stretch; the greedy parse joins
-   neighbouring ones with the same source into one factor.
-3. At factor boundaries a block differs from the source's although windows of it may
-   be copied.  There, and only there (an anchor with several different blocks, in the
-   first document of the block), single windows are looked up.
-
-Both lookups are by 128 hashed bits (anchor and content).  The result equals the
-removal of every word under a ``WINDOW``-word window that starts in a smaller
-document too.
-
-Scale: the index aggregates with map-side combine (first in the workers, then as a
-partial aggregation), lookups are equi-joins that adaptive execution can split, and
-lists are per document.  The text is shuffled by doc_id twice, for the boundary check
-and for the removal.  Lineage is cut between the steps, and the shuffle files of a
-finished step are released.
+(12 words and one per window, 21 words at most).  Equal windows pick equal anchors, so
+every repeat of ``WINDOW`` words lies within blocks of one anchor.
+
+1. Anchors that several documents hold are found, with whether their blocks differ.
+2. Blocks of anchors with different blocks form the reference: each different block is
+   stored once, with its words and the least doc_id that holds it.  Where an anchor has
+   one block only, every later holder copies it whole.
+3. Every stored block is factored: a match is grown from the anchor to both sides, word
+   by word, against the anchor's leading block (that of the least document).  A factor of
+   ``WINDOW`` words or more is a duplicate span.
+4. At factor boundaries, that is in what a factor leaves of a block, the remaining
+   windows are looked up among those that the factors of all other reference blocks of
+   the anchor left, so no block is compared with all others of a hot anchor.
+5. A document's copied blocks and windows are put together by the greedy parse: from the
+   left, the factor that reaches furthest.
+
+Lookups are by 128 hashed bits (anchor and content).  The result equals the removal of
+every word under a ``WINDOW``-word window that starts in a smaller document too.
+
+Scale: anchors aggregate with map-side combine (first in the workers, then as a partial
+aggregation); only blocks that pass a Bloom filter of fixed size (of the shared anchors,
+of those with different blocks) leave the workers after that.  Lookups are equi-joins
+with one row a key on one side, which adaptive execution can split, and lists are per
+document.  The text is shuffled once, by doc_id, for the removal.  Lineage is cut between
+the steps, and files that nothing reads any more are deleted.
 
 Defined results: a null or blank text has no words; texts under ``WINDOW`` words keep
 all; rows without doc_id are neither removed from nor a source; rows that share a
@@ -41,8 +46,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.textio import chunks, cut, release, utf8
-from umbra.llm.wordhash import U, grams, mix, powers, word_hashes
+from umbra.llm import bitfilter
+from umbra.llm.textio import chunks, cut, drop, utf8
+from umbra.llm.wordhash import U, grams, mix, powers, stream, word_hashes
 
 WINDOW = 13
 ANCHOR = 5
@@ -65,7 +71,7 @@ class Blocks:
         starts = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
         self.window, self.starts = window, starts
         if not total:
-            self.first = self.last = self.doc = np.zeros(0, np.int64)
+            self.first = self.last = self.doc = self.at = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, U)
             return
         g = grams(self.words, anchor)
@@ -86,7 +92,8 @@ class Blocks:
         tails = np.append(self.heads[1:], total) - 1
         self.first, self.last = starts[self.heads], starts[tails] + window  # words [first, last)
         self.doc = rows[self.heads]
-        self.anchor = g[chosen[self.heads]]
+        self.at = chosen[self.heads]
+        self.anchor = g[self.at]
         with np.errstate(over="ignore"):
             self.sums = np.zeros(n + 1, U)
             np.cumsum(self.words * powers(_Q, n), out=self.sums[1:])
@@ -98,34 +105,38 @@ class Blocks:
         right = b < a
         return np.where(right, b, a), np.where(right, at[step:], at[: len(at) - step])
 
+    def texts(self, which: np.ndarray, width: int, anchor: int) -> np.ndarray:
+        """Word hashes of blocks, a row each, aligned at the anchor; 0 where the block has no word."""
+        at = self.at[which, None] + np.arange(-width, anchor + width)
+        inside = (at >= self.first[which, None]) & (at < self.last[which, None])
+        return np.where(inside, self.words[np.where(inside, at, 0)], U(0))
+
     def hashed(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self.sums[last] - self.sums[first]) * powers(_Q_INV, len(self.words) + 1)[first] + (last - first).astype(U) * U(0x9E3779B97F4A7C15))
 
 
-def _index_rows(window: int, anchor: int, per_document: bool):
-    """Rows (anchor, block, lo, hi): least and greatest doc_id of each block in a stretch of input, or (anchor, block, doc_id)."""
+def _anchor_rows(window: int, anchor: int):
+    """Rows (anchor, block, lo, hi): least and greatest doc_id of each block in a stretch of input."""
 
-    def combined(held: list[np.ndarray]) -> pa.RecordBatch:
+    def combined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         a, c, d = (np.concatenate([h[i] for h in held]) for i in range(3))
         order = np.lexsort((d, c, a))
         a, c, d = a[order], c[order], d[order]
         new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | ((d[1:] != d[:-1]) if per_document else False)
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
         at = np.flatnonzero(new)
-        out = [a[at].view(np.int64), c[at].view(np.int64), d[at]]
-        if not per_document:
-            out.append(d[np.append(at[1:], len(d)) - 1] if len(d) else d)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["anchor", "block", "doc_id"] if per_document else ["anchor", "block", "lo", "hi"])
+        out = [a[at].view(np.int64), c[at].view(np.int64), d[at], d[np.append(at[1:], len(d)) - 1] if len(d) else d]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["anchor", "block", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in chunks(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = _ids(batch)
             blocks = Blocks(batch, window, anchor)
-            held.append((blocks.anchor, blocks.content, ids[blocks.doc]))
+            held.append([blocks.anchor, blocks.content, ids[blocks.doc]])
             size += batch.nbytes
-            if size >= COMBINE_BYTES or per_document:
+            if size >= COMBINE_BYTES:
                 yield combined(held)
                 held, size = [], 0
         if held:
@@ -134,42 +145,130 @@ def _index_rows(window: int, anchor: int, per_document: bool):
     return run
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return [np.zeros(0, np.int64) if x is None else x for x in (v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in column)]
+def _document_rows(window: int, anchor: int, wanted: np.ndarray):
+    """Rows (anchor, block, doc_id) of the blocks whose anchor passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            blocks = Blocks(batch, window, anchor)
+            at = bitfilter.held(wanted, blocks.anchor)
+            rows = np.unique(np.stack([blocks.anchor[at].view(np.int64), blocks.content[at].view(np.int64), _ids(batch)[blocks.doc[at]]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["anchor", "block", "doc_id"])
+
+    return run
 
 
-def _boundary_windows(window: int, anchor: int):
+def _reference_rows(window: int, anchor: int, wanted: np.ndarray):
+    """Rows (anchor, block, doc_id, words) of the different blocks of a stretch of input whose anchor passes the filter."""
+    width = window - anchor
+
+    def combined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        a, c, d, w = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.lexsort((d, c, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])
+        at = order[new]
+        words = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * (anchor + 2 * width)), len(at), [None, pa.py_buffer(np.ascontiguousarray(w[at]).tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(c[at].view(np.int64)), pa.array(d[at]), words.cast(pa.binary())], names=["anchor", "block", "doc_id", "words"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in chunks(batches):
             blocks = Blocks(batch, window, anchor)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = _lists(batch.column("edges"))
-            take = np.zeros(len(blocks.first), bool)
-            bounds = np.searchsorted(blocks.doc, np.arange(batch.num_rows + 1))
-            content = blocks.content.view(np.int64)
-            for i, w in enumerate(wanted):
-                if len(w):
-                    take[bounds[i] : bounds[i + 1]] = np.isin(content[bounds[i] : bounds[i + 1]], w)
-            at = np.flatnonzero(take)
-            if not len(at):
-                continue
-            sizes = blocks.last[at] - window + 1 - blocks.first[at]
-            starts = np.repeat(blocks.first[at], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows = np.stack([np.repeat(blocks.anchor[at].view(np.int64), sizes), blocks.hashed(starts, starts + window).view(np.int64), np.repeat(ids[blocks.doc[at]], sizes)])
-            rows = np.unique(rows, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["anchor", "win", "doc_id"])
+            at = bitfilter.held(wanted, blocks.anchor)
+            held.append([blocks.anchor[at], blocks.content[at], _ids(batch)[blocks.doc[at]], blocks.texts(at, width, anchor)])
+            size += batch.nbytes
+            if size >= COMBINE_BYTES:
+                yield combined(held)
+                held, size = [], 0
+        if held:
+            yield combined(held)
+
+    return run
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _grown(window: int, anchor: int):
+    """Of each reference block the windows (from, to) that the factor against its leader covers, and the hashes of the others."""
+    width = window - anchor
+    coefficients = stream(77, window) | U(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            own, lead = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(n, anchor + 2 * width) for c in ("words", "lead_words"))
+            there = own != 0
+            same = there & (own == lead)
+            # from the anchor to both sides, as far as the words agree
+            left = np.cumprod(same[:, :width][:, ::-1], axis=1).sum(axis=1)
+            right = np.cumprod(same[:, width + anchor :], axis=1).sum(axis=1)
+            first = there.argmax(axis=1)  # windows start here and up to ``count`` further on
+            count = there.sum(axis=1) - window + 1
+            start, stop = np.maximum(width - left - first, 0), right - first + 1
+            long = left + right + anchor >= window
+            start, stop = np.where(long, start, 0), np.where(long, np.minimum(stop, count), 0)
+            index = np.arange(width + 1)
+            rest = (index < count[:, None]) & ~((index >= start[:, None]) & (index < stop[:, None]))
+            rest &= (batch.column("is_lead").to_numpy(zero_copy_only=False) == 0)[:, None]
+            row, nth = np.nonzero(rest)
+            hashes = np.zeros(len(row), U)
+            with np.errstate(over="ignore"):
+                for j in range(window):
+                    hashes += own[row, first[row] + nth + j] * coefficients[j]
+            edges = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("anchor", "block", "doc_id", "lead_doc")), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)),
+                 pa.ListArray.from_arrays(edges, pa.array(nth.astype(np.int32))), pa.ListArray.from_arrays(edges, pa.array(mix(hashes).view(np.int64)))],
+                names=["anchor", "block", "doc_id", "lead_doc", "from", "to", "nth", "win"],
+            )
 
     return run
 
 
+GROWN = "anchor long, block long, doc_id long, lead_doc long, `from` int, `to` int, nth array<int>, win array<long>"
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return [v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.zeros(0, np.int64) for v in column]
+
+
+def _parsed(first: np.ndarray, last: np.ndarray, source: np.ndarray, window: int) -> list[dict[str, int]]:
+    """The greedy parse of copied windows [first, last) with their sources: from the left, the factor that reaches furthest.
+
+    Neighbouring stretches with one source grow together first.
+    """
+    grown: list[list[int]] = []
+    order = np.lexsort((first, source))
+    for s, a, b in zip(source[order].tolist(), first[order].tolist(), last[order].tolist(), strict=True):
+        if grown and grown[-1][2] == s and a <= grown[-1][1]:
+            grown[-1][1] = max(grown[-1][1], b)
+        else:
+            grown.append([a, b, s])
+    grown.sort()
+    out, at, i = [], -1, 0
+    while i < len(grown):
+        start = max(at, grown[i][0])
+        best = grown[i]
+        while i < len(grown) and grown[i][0] <= start:
+            if grown[i][1] > best[1]:
+                best = grown[i]
+            i += 1
+        if best[1] > start:
+            out.append({"start": start, "words": best[1] + window - 1 - start, "source": best[2]})
+            at = best[1]
+    return out
+
+
 def _removals(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             blocks = Blocks(batch, window, anchor)
             data, offsets = utf8(batch.column("text"))
-            dup, dup_from = _lists(batch.column("dup")), _lists(batch.column("dup_from"))
-            win, win_from = _lists(batch.column("win")), _lists(batch.column("win_from"))
+            copied = [_lists(batch.column(c)) for c in ("block", "source", "from", "to")]
             bounds = np.searchsorted(blocks.doc, np.arange(batch.num_rows + 1))
             content = blocks.content.view(np.int64)
             n_words, n_removed, shas, kept_texts, factors = [], [], [], [], []
@@ -177,24 +276,19 @@ def _removals(window: int, anchor: int):
             for i in range(batch.num_rows):
                 lo, hi = int(blocks.ranges[i]), int(blocks.ranges[i + 1])
                 words = raw[offsets[i] : offsets[i + 1]].split()
-                source = np.full(max(hi - lo - window + 1, 0), -1, np.int64)  # of each window
-                known = np.zeros(len(source), bool)
-                if len(dup[i]):
-                    for b, s in _found(content[bounds[i] : bounds[i + 1]], dup[i], dup_from[i], bounds[i]):
-                        source[blocks.first[b] - lo : blocks.last[b] - window + 1 - lo] = s
-                        known[blocks.first[b] - lo : blocks.last[b] - window + 1 - lo] = True
-                if len(win[i]):
-                    starts = np.arange(lo, hi - window + 1)
-                    for w, s in _found(blocks.hashed(starts, starts + window).view(np.int64), win[i], win_from[i], 0):
-                        if not known[w]:
-                            source[w], known[w] = s, True
                 parsed, gone = [], np.zeros(hi - lo, bool)
-                if known.any():
-                    cut = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
-                    for start, end in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True):
-                        gone[start : end + window - 1] = True
-                        inner = [start, *(start + 1 + np.flatnonzero(np.diff(source[start:end]))).tolist(), end]
-                        parsed += [{"start": s, "words": e + window - 1 - s, "source": int(source[s])} for s, e in zip(inner[:-1], inner[1:], strict=True)]
+                key, source, start, stop = (c[i] for c in copied)
+                if len(key):
+                    own = content[bounds[i] : bounds[i + 1]]
+                    order = np.argsort(own, kind="stable")
+                    a, b = (np.searchsorted(own[order], key, side=x) for x in ("left", "right"))
+                    which = np.repeat(np.arange(len(key)), b - a)
+                    block = order[np.arange(len(which)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)] + bounds[i]
+                    first = blocks.first[block] - lo + start[which]
+                    last = np.minimum(blocks.first[block] - lo + stop[which], blocks.last[block] - lo - window + 1)
+                    parsed = _parsed(first, last, source[which], window)
+                    for f in parsed:
+                        gone[f["start"] : f["start"] + f["words"]] = True
                 kept = b" ".join(compress(words, (~gone).tolist()) if parsed else words)
                 n_words.append(hi - lo)
                 n_removed.append(int(gone.sum()))
@@ -212,60 +306,47 @@ def _removals(window: int, anchor: int):
 _FACTOR = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64())])
 
 
-def _found(have: np.ndarray, keys: np.ndarray, values: np.ndarray, shift: int) -> Iterator[tuple[int, int]]:
-    """Positions in ``have`` (plus shift) whose hash is among ``keys``, with that key's value."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    at = np.minimum(np.searchsorted(keys, have), len(keys) - 1)
-    hit = np.flatnonzero(keys[at] == have)
-    return zip((hit + shift).tolist(), values[at[hit]].tolist(), strict=True)
-
-
 def factored(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Per row ``doc_id, n_words, n_removed, kept_sha256, kept_text, factors``.
 
-    ``factors``: the parse's copied stretches, ``(start, words, source)`` in words;
-    ``source``: the least doc_id that holds the stretch.
+    ``factors``: the parse's copied stretches, ``(start, words, source)`` in words, each of
+    ``window`` words or more; ``source``: a smaller doc_id that holds every window of it.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = docs.where("doc_id is not null")
-    hits = cut(_block_hits(named, window, anchor))
-    release(spark)
-    lists = cut(_block_lists(hits))
-    del hits
-    windows = cut(_edge_windows(named, lists, window, anchor))
-    release(spark)
-    sources = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
-    copied = windows.join(sources.drop("last"), ["anchor", "win"]).where("first < doc_id")
-    single = copied.groupBy("doc_id").agg(F.collect_list(F.struct("win", "first")).alias("single"))
-    all_lists = lists.select("doc_id", "copied").join(single, "doc_id", "left").where("size(copied) > 0 or single is not null")
-    joined = docs.join(all_lists, "doc_id", "left").select(
-        "doc_id", "text", F.col("copied.block").alias("dup"), F.col("copied.first").alias("dup_from"), F.col("single.win").alias("win"), F.col("single.first").alias("win_from")
-    )
+    copied = copied_blocks(docs.where("doc_id is not null"), window, anchor)
+    item = F.struct("block", "source", "from", "to")
+    lists = copied.groupBy("doc_id").agg(F.collect_list(item).alias("c"))
+    joined = docs.join(lists, "doc_id", "left").select("doc_id", "text", *[F.col(f"c.{x}").alias(x) for x in ("block", "source", "from", "to")])
     return joined.mapInArrow(_removals(window, anchor), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:int,words:int,source:long>>")
 
 
-def _block_hits(named: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Blocks at anchors that several documents share, where a smaller one may hold them: ``doc_id, anchor, block, lo, varied``."""
-    index = named.mapInArrow(_index_rows(window, anchor, False), "anchor long, block long, lo long, hi long")
+def copied_blocks(named: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``doc_id, block, source, from, to``: the windows [from, to) of a document's blocks that a smaller document, the source, has too."""
+    whole = F.lit(window - anchor + 1)
+    index = named.mapInArrow(_anchor_rows(window, anchor), "anchor long, block long, lo long, hi long")
     index = index.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("block").alias("b0"), F.max("block").alias("b1"))
-    shared = index.where("lo < hi").select("anchor", "lo", (F.col("b0") < F.col("b1")).alias("varied"))
-    rows = named.mapInArrow(_index_rows(window, anchor, True), "anchor long, block long, doc_id long")
-    return rows.join(shared.hint("shuffle_hash"), "anchor").where("varied or doc_id > lo").select("doc_id", "anchor", "block", "lo", "varied")
-
-
-def _block_lists(hits: DataFrame) -> DataFrame:
-    """``doc_id, copied, edges``: blocks with their sources, and first blocks at anchors with several."""
-    # an anchor with one block has its source at hand; the blocks of others are looked up one by one
-    varied = hits.where("varied").groupBy("anchor", "block").agg(F.min("doc_id").alias("least"))
-    hits = hits.join(varied, ["anchor", "block"], "left").select("doc_id", "block", "varied", F.coalesce("least", "lo").alias("first"))
-    return hits.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("first") < F.col("doc_id"), F.struct("block", "first"))).alias("copied"),
-        F.collect_list(F.when(F.col("first") == F.col("doc_id"), F.col("block"))).alias("edges"),
-    )
-
-
-def _edge_windows(named: DataFrame, lists: DataFrame, window: int, anchor: int) -> DataFrame:
-    edged = named.join(lists.where("size(edges) > 0").select("doc_id", "edges"), "doc_id")
-    return edged.mapInArrow(_boundary_windows(window, anchor), "anchor long, win long, doc_id long")
+    shared = cut(index.where("lo < hi").select("anchor", "lo", (F.col("b0") < F.col("b1")).alias("varied")))
+    wanted = bitfilter.collected(shared.select("anchor"))
+    rows = named.mapInArrow(_document_rows(window, anchor, wanted), "anchor long, block long, doc_id long")
+    hits = cut(rows.join(shared, "anchor").where("varied or doc_id > lo").select("doc_id", "anchor", "block", "lo", "varied"))
+
+    # the reference: different blocks of anchors with several; others of the filter's have no smaller holder and do no harm
+    varied = bitfilter.collected(shared.where("varied").select("anchor"))
+    reference = named.mapInArrow(_reference_rows(window, anchor, varied), "anchor long, block long, doc_id long, words binary")
+    reference = reference.join(shared.where("varied").select("anchor"), "anchor", "left_semi").groupBy("anchor", "block").agg(F.min(F.struct("doc_id", "words")).alias("r"))
+    reference = cut(reference.select("anchor", "block", "r.doc_id", "r.words"), shared)
+    lead = cut(reference.groupBy("anchor").agg(F.min(F.struct("doc_id", "block", "words")).alias("l")))
+    pairs = reference.join(lead, "anchor").select("anchor", "block", "doc_id", "words", F.col("l.doc_id").alias("lead_doc"), F.col("l.words").alias("lead_words"), (F.col("l.block") == F.col("block")).cast("int").alias("is_lead"))
+    grown = cut(pairs.mapInArrow(_grown(window, anchor), GROWN), reference, lead)
+
+    # what the factors left: the least document of each window, of those left at the same anchor
+    left = grown.select("anchor", "block", "doc_id", F.explode(F.arrays_zip("nth", "win")).alias("w")).select("anchor", "block", "doc_id", "w.nth", "w.win")
+    source = cut(left.groupBy("anchor", "win").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"))
+    single = left.join(source, ["anchor", "win"]).where("source < doc_id").select("doc_id", "block", "source", F.col("nth").alias("from"), (F.col("nth") + 1).alias("to"))
+    factor = grown.where("lead_doc < doc_id and `to` > `from`").select("doc_id", "block", F.col("lead_doc").alias("source"), "from", "to")
+    later = hits.where("varied").join(grown.select("anchor", "block", F.col("doc_id").alias("source")), ["anchor", "block"]).where("source < doc_id")
+    plain = hits.where("not varied").select("doc_id", "block", F.col("lo").alias("source"))
+    out = plain.union(later.select("doc_id", "block", "source")).select("doc_id", "block", "source", F.lit(0).alias("from"), whole.alias("to"))
+    out = cut(out.union(factor).union(single), hits, grown)
+    drop(source)
+    return out
