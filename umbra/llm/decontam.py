@@ -7,18 +7,19 @@ each (two of every four), so a window with any two substituted tokens, or with s
 in one third, still gives an equal hash.  Hashes of benchmark items and documents are
 joined; equal ones propose a diagonal (document, item, shift).  On it the tokens of
 both are compared one by one: a document is contaminated by an item if the diagonal has
-a stretch in which at least ``min(SPAN, 80 % of the item)`` tokens are equal and make up
+a stretch in which at least ``min(SPAN, 80 % of the item)`` tokens (of items under ``EXACT``
+tokens all) are equal and make up
 80 % of it, whatever lies before and behind it.
 
 Items of 8 to 12 tokens have masked windows of their own length; these let pass as many
-substituted tokens as 80 % allows.  Shorter items are too common to tell and are left
-out.  Documents are padded by ``PAD`` tokens, so items cut short at their ends are seen.
+substituted tokens as 80 % allows.  Shorter items count where a document holds all their
+tokens in a row.  Documents are padded by ``PAD`` tokens, so items cut short at their ends are seen.
 An overlap is missed if every window in it has three or more substitutions that no mask
 covers.
 
 Scale: a document's seeds leave the scan only if a two-hash Bloom filter of the
-benchmark's seeds lets them pass.  The filter has a fixed size (2**26 bits, 8 MB)
-whatever the benchmark's; with a huge benchmark it lets more through and the join,
+benchmark's seeds lets them pass.  The filter has a fixed size (8 MB) whatever the
+benchmark's; with a huge benchmark it lets more through and the join,
 an ordinary equi-join, does the work.
 
 Defined results: null texts have no tokens; items with the same text are all reported;
@@ -35,25 +36,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm import bitfilter
 from umbra.llm.textio import chunks, cut, packed, unpacked, utf8
-from umbra.llm.wordhash import U, byte_table, gram_starts, grams, mix, word_hashes
+from umbra.llm.wordhash import U, byte_table, gram_starts, grams, word_hashes
 
 SPAN = 13
-SHORTEST = 8
+#: Items under so many tokens must stand in a document token for token.
+EXACT = 8
 PAD = 2
 
 
 def _masks(n: int) -> list[list[int]]:
     """Kept positions of each mask of a window of n tokens."""
+    if n < EXACT:
+        return [list(range(n))]
     thirds = [[i for i in range(n) if i % 3 != j] for j in range(3)]
     halves = [[i for i in range(n) if i % 4 in kept] for kept in combinations(range(4), 2)]
     return thirds if n < 10 else halves if n < SPAN else thirds + halves
 
 
-MASKS = {n: _masks(n) for n in range(SHORTEST, SPAN + 1)}
+MASKS = {n: _masks(n) for n in range(1, SPAN + 1)}
 #: 80 % as a fraction.
 PROVEN = (4, 5)
-FILTER_BITS = 26
 #: Up to so many seeds are broadcast; a larger benchmark goes by shuffle joins.
 BROADCAST_SEEDS = 200_000
 
@@ -99,22 +103,7 @@ def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item_id").cast(pa.int64()), pa.array(tokens, pa.binary())], names=["item_id", "item"])
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = h.astype(U)
-    return (h >> U(64 - FILTER_BITS)).astype(np.int64), (mix(h) >> U(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = batch.column("seed").to_numpy(zero_copy_only=False).view(U)
-        bit = np.unique(np.concatenate(_bits(h)))
-        yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.left_shift(U(1), (bit & 63).astype(U)).view(np.int64))], names=["word", "bit"])
-
-
 def _document_seeds(words_set: np.ndarray, lengths: list[int]):
-    def held(bit: np.ndarray) -> np.ndarray:
-        return (words_set[bit >> 6] >> (bit & 63).astype(U)) & U(1) > 0
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             ids = batch.column("doc_id").cast(pa.int64())
@@ -125,8 +114,7 @@ def _document_seeds(words_set: np.ndarray, lengths: list[int]):
             padded[np.arange(len(words)) + PAD * (2 * text + 1)] = words
             seeds, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for _, at, hashes in _seeds(padded, wide, lengths):
-                hit = np.flatnonzero(held((hashes >> U(64 - FILTER_BITS)).astype(np.int64)))
-                hit = hit[held(_bits(hashes[hit])[1])]
+                hit = bitfilter.held(words_set, hashes)
                 seeds.append(hashes[hit])
                 places.append(at[hit])
             seed, at = np.concatenate(seeds), np.concatenate(places)
@@ -157,7 +145,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (batch.column(c).to_pylist() for c in ("doc", "item", "doc_from", "item_tokens"))
         for i, (doc, item, doc_from, tokens) in enumerate(zip(*columns, strict=True)):
             at = np.flatnonzero(np.frombuffer(doc, U) == np.frombuffer(item, U))
-            least = min(SPAN, -(-up * tokens // down))
+            least = tokens if tokens < EXACT else min(SPAN, -(-up * tokens // down))
             if len(at) < least:
                 continue
             first, last = _stretch(at)
@@ -184,10 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, n_tokens, n_proven``: a row for each document and item, with its longest overlap (in tokens of the document); n_proven of its tokens are equal."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").dropDuplicates()
     seeds = cut(items.mapInArrow(_item_seeds, "seed long, item_id long, item_at int, span int"))
-    # at most 2**20 rows of 64 bits come to the driver, however large the benchmark is
-    words_set = np.zeros(1 << (FILTER_BITS - 6), U)
-    for row in seeds.select("seed").mapInArrow(_filter_bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        words_set[row["word"]] = U(row["bits"] & 0xFFFFFFFFFFFFFFFF)
+    words_set = bitfilter.collected(seeds.select("seed"))
     lengths = sorted(r["span"] for r in seeds.select("span").distinct().collect())
     small = F.broadcast if seeds.count() <= BROADCAST_SEEDS else lambda df: df
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
