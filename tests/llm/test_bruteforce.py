@@ -406,9 +406,9 @@ def test_html(spark, sf_dir):
         assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text)
 
 
-def test_labeller_held_out(spark):
+def test_labeller_held_out():
     model = html_main.Labeller()
-    model.parts = html_main.trained(spark)
+    model.parts = html_main.trained()
     pages = html_main.training_set(html_main.HELD_OUT_PAGES, 99)
     right = [p == q for p, q in zip(model.labels([x for x, _ in pages]), [y for _, y in pages])]
     assert sum(r.sum() for r in right) / sum(len(r) for r in right) > 0.985
@@ -442,10 +442,36 @@ def test_labeller_gradients():
 
 def test_blocks():
     found = blocks("<nav><a href='/'>Home</a></nav><p>One <b>two<br>three</b><p>four &amp; five<script>if (a < b) {}</script><li>six<li>seven<div id=x>eight<!-- no --> nine")
-    assert [(t, p[-1][0] if p else "") for p, t, _ in found] == [("Home", "nav"), ("One two three", "p"), ("four & five", "p"), ("six", "li"), ("seven", "li"), ("eight nine", "div")]
+    assert [(t, p.tag) for p, t, _ in found] == [("Home", "nav"), ("One two three", "p"), ("four & five", "p"), ("six", "li"), ("seven", "li"), ("eight nine", "div")]
     assert found[0][2] == 1.0
 
 
+def test_deep_pages():
+    """Nesting, unclosed and unmatched tags cost in proportion to the page."""
+    import time
+    import tracemalloc
+
+    took = {}
+    for n in (4_000, 32_000):
+        page = "<div class='a b'>x" * n + "</b></p>" * n + "<select><li>y" * n
+        tracemalloc.start()
+        began = time.process_time()
+        found = blocks(page)
+        took[n] = (time.process_time() - began, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == 2 * n and found[n - 1][0].depth == n
+    assert took[32_000][0] < 24 * took[4_000][0] and took[32_000][1] < 12 * took[4_000][1]
+
+
+def test_contexts_of_any_length():
+    """Candidates and the words around them are whole, however long."""
+    long = "w" * 200
+    text = f"{long} code {'9' * 80}-1234 {long} , tail"
+    start = text.index("9")
+    assert list(pii._candidates(text, [])) == [(start, start + 85)]
+    assert pii._patterns(text, start, start + 85) == [f"<{long} code", f">{long} tail", f"code_{long}"]
+
+
 def test_broadcast_and_shuffle_paths_agree(docs, monkeypatch):
     """The ways beyond the broadcast bounds give the same rows."""
     want_near = sorted(map(tuple, near_dup.near_duplicates(docs)[0].collect()))

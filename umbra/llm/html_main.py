@@ -8,10 +8,11 @@ whole page, and a logistic unit labels each block as main text or not.
 The model is trained here, on ``TRAIN_PAGES`` generated pages (a documented bound that
 does not depend on the input) whose blocks are labelled by construction: articles in
 several kinds of containers, and menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments around and inside them.  Training takes seconds, has a fixed
-seed and happens in one small task, once in a driver's life; workers get the weights.
+forms and reader comments around and inside them.  Training has a fixed seed and is done
+by ``python -m umbra.llm.html_main``, which writes the weights beside this module; the
+driver reads them and sends them to the workers.
 
-Text of scripts, styles, templates and form controls is never a block.  Character
+Text of scripts, styles, templates, drawings, frames and form controls is never a block.  Character
 references are decoded, white space inside a block becomes one space, blocks are joined
 by one newline.
 
@@ -23,18 +24,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path as File
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.html_blocks import blocks
+from umbra.llm.html_blocks import PATH_BUCKETS, Path, blocks, bucket
 from umbra.llm.html_pages import page as training_page
 from umbra.llm.textio import chunks, utf8
 from umbra.llm.wordhash import U, mix, word_hashes
 
-PATH_BUCKETS, WORD_BUCKETS, MEASURES = 192, 32, 6
+WORD_BUCKETS, MEASURES = 32, 6
 INPUTS = PATH_BUCKETS + WORD_BUCKETS + MEASURES
 HIDDEN = 16
 TRAIN_PAGES = 800
@@ -44,33 +46,15 @@ EPOCHS = 10
 CELLS = 200_000
 
 
-@lru_cache(maxsize=100_000)
-def _bucket(name: str) -> int:
-    h = 1469598103934665603
-    for byte in name.encode():
-        h = (h ^ byte) * 1099511628211 % (1 << 64)
-    return int(mix(h)) % PATH_BUCKETS
-
-
-@lru_cache(maxsize=20_000)
-def _path_row(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    row = np.zeros(PATH_BUCKETS, np.float32)
-    for names in path:
-        for name in names:
-            row[_bucket(name)] = 1.0
-    if path:
-        row[_bucket("leaf " + path[-1][0])] = 1.0
-    return row
-
-
-def vectors(found: list[tuple[tuple[tuple[str, ...], ...], str, float]]) -> np.ndarray:
+def vectors(found: list[tuple[Path, str, float]]) -> np.ndarray:
     """A row of INPUTS values for each block."""
     out = np.zeros((len(found), INPUTS), np.float32)
     if not found:
         return out
     for i, (path, text, linked) in enumerate(found):
-        out[i, :PATH_BUCKETS] = _path_row(path)
-        out[i, -MEASURES:-3] = len(path) / 8, linked, min(np.log1p(len(text)) / 8, 2)
+        out[i, :PATH_BUCKETS] = path.row
+        out[i, bucket("leaf " + path.tag)] = 1
+        out[i, -MEASURES:-3] = min(path.depth / 8, 4), linked, min(np.log1p(len(text)) / 8, 2)
     words, ranges, _ = word_hashes(*utf8(pa.array([t for _, t, _ in found])), lower=True)
     count = np.diff(ranges)
     row = np.repeat(np.arange(len(found)), count)
@@ -207,24 +191,18 @@ class Labeller:
 MARK = "​"
 
 
-_weights: dict[tuple[int, int], dict[str, np.ndarray]] = {}
+#: The weights that ``python -m umbra.llm.html_main`` trains and writes (about 130 KB).
+WEIGHTS = File(__file__).with_name("labeller.npz")
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            parts = Labeller().fit(training_set(TRAIN_PAGES, 1), EPOCHS).parts
-            shapes = pa.array([list(v.shape) for v in parts.values()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts)), shapes, pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["name", "shape", "data"])
+def train() -> dict[str, np.ndarray]:
+    return Labeller().fit(training_set(TRAIN_PAGES, 1), EPOCHS).parts
 
 
-def trained(spark: SparkSession) -> dict[str, np.ndarray]:
-    """Weights (about 130 KB) after training in one task, which numpy gets one thread for; kept for the driver's life."""
-    key = (TRAIN_PAGES, EPOCHS)
-    if key not in _weights:
-        rows = spark.range(1).coalesce(1).mapInArrow(_train, "name string, shape array<int>, data binary").collect()
-        _weights[key] = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(r["shape"]).copy() for r in rows}
-    return _weights[key]
+@lru_cache(maxsize=1)
+def trained() -> dict[str, np.ndarray]:
+    with np.load(WEIGHTS) as parts:
+        return {k: parts[k] for k in parts.files}
 
 
 def training_set(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -239,7 +217,7 @@ def training_set(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """Per row ``page_id, url, text, n_chars``."""
-    parts = trained(pages.sparkSession)
+    parts = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Labeller()
@@ -256,3 +234,7 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **train())

@@ -43,11 +43,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_GAP = re.compile(r"[ \t\n\x0b\x0c\r]")
+_SOLID = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SPACE = frozenset(" \t\n\x0b\x0c\r")
 _EDGE = ".,;:!?()[]{}<>|\"'=#*$%&"
-#: Longest token that can be a candidate, and characters looked at for a pattern's words.
-TOKEN_CHARS = 64
 
 
 def luhn(digits: str) -> bool:
@@ -97,23 +97,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """Tokens with at least four digits, or an address sign, that touch no base span."""
     busy = sorted((s, e) for s, _, e in taken)
-    at, b = 0, 0
+    at, b, low = 0, 0, 0
     while True:
         digit, sign = _DIGIT.search(text, at), text.find("@", at)
         if digit is None and sign < 0:
             return
         at = min(x for x in (digit.start() if digit else -1, sign) if x >= 0)
-        start, end = at, at + 1
-        while start > 0 and text[start - 1] not in _SPACE and at - start <= TOKEN_CHARS:
+        start = at
+        while start > low and text[start - 1] not in _SPACE:
             start -= 1
-        while end < len(text) and text[end] not in _SPACE and end - at <= TOKEN_CHARS:
-            end += 1
-        at = end
+        gap = _GAP.search(text, at + 1)
+        low = at = end = gap.start() if gap else len(text)
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE:
             end -= 1
-        if end - start > TOKEN_CHARS or end - start < 6:
+        if end - start < 6:
             continue
         while b < len(busy) and busy[b][1] <= start:
             b += 1
@@ -124,12 +123,32 @@ def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[
             yield start, end
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in (x.strip(_EDGE).lower() for x in text.split()) if w]
+def _word_before(text: str, at: int) -> tuple[str, int]:
+    """The last word that ends at or before ``at``, without its edges, and where it starts; an empty word at the start of the text."""
+    while at > 0:
+        end = at
+        while end > 0 and text[end - 1] in _SPACE:
+            end -= 1
+        at = end
+        while at > 0 and text[at - 1] not in _SPACE:
+            at -= 1
+        if word := text[at:end].strip(_EDGE):
+            return word.lower(), at
+    return "", 0
+
+
+def _word_after(text: str, at: int) -> tuple[str, int]:
+    for m in _SOLID.finditer(text, at):
+        if word := m[0].strip(_EDGE):
+            return word.lower(), m.end()
+    return "", len(text)
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    before, after = _words(text[max(0, start - TOKEN_CHARS) : start])[-2:], _words(text[end : end + TOKEN_CHARS])[:2]
+    near, at = _word_before(text, start)
+    before = [w for w in (_word_before(text, at)[0] if near else "", near) if w]
+    near, at = _word_after(text, end)
+    after = [w for w in (near, _word_after(text, at)[0] if near else "") if w]
     out = []
     if len(before) == 2:
         out.append("<" + " ".join(before))
