@@ -1,23 +1,7 @@
-"""Native detectors: columns that find typed spans in a text column.
-
-A detector is a Java regular expression without look-around, a check of each match
-and, for some, labels that must stand near it.  Matches and the gaps between them give
-code-point offsets, so a detector is a projection: no shuffle, no Python.
-
-Spans are half-open, ``value = text[start:end]``.
-"""
+"""What the detectors share: the span's type, priorities, labels and word lists."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from umbra.functions import checks
-
 SPAN = "struct<start:int,end:int,kind:string,value:string,detector:string,priority:int>"
 #: Characters searched for a label on each side by default.
 LABEL_WINDOW = 64
@@ -30,95 +14,6 @@ PRIORITY = {
     "BIC": 60, "POSTAL_ADDRESS": 59, "DATE_OF_BIRTH": 58, "PHONE": 55, "VEHICLE_PLATE": 52, "POSTCODE": 48, "LITERAL": 1000,
 }
 CUSTOM_PRIORITY, DICTIONARY_PRIORITY = 45, 40
-
-
-@dataclass(frozen=True)
-class Detector:
-    """``check`` gets the value and the characters before and after it (up to two each)."""
-
-    name: str
-    kind: str
-    pattern: str
-    check: Callable[[Column, Column, Column], Column] | None = None
-    #: Cheap test that must hold for the whole text before the pattern runs.
-    gate: Callable[[Column], Column] | None = None
-    labels: tuple[str, ...] = ()
-    window: int = LABEL_WINDOW
-    #: The group that is the span; text before it in the match only anchors it.
-    group: int = 0
-    priority: int | None = field(default=None)
-    #: Whether every match holds a digit, so that texts without one are skipped.
-    digits: bool = True
-
-    @property
-    def rank(self) -> int:
-        return self.priority if self.priority is not None else PRIORITY.get(self.kind, CUSTOM_PRIORITY)
-
-
-def _word(c: Column) -> Column:
-    return F.rlike(c, F.lit(r"^[\p{L}\p{N}_]"))
-
-
-def free(value: Column, before: Column, after: Column) -> Column:
-    """No word character on either side."""
-    return ~F.rlike(before, F.lit(r"[\p{L}\p{N}_]\z")) & ~_word(after)
-
-
-def _compact(value: Column) -> Column:
-    return F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
-
-
-def _checked(check: Callable[[Column], Column]) -> Callable[[Column, Column, Column], Column]:
-    return lambda value, before, after: free(value, before, after) & check(_compact(value))
-
-
-def _has(needle: str) -> Callable[[Column], Column]:
-    return lambda text: F.contains(text, F.lit(needle))
-
-
-def _shape(pattern: str) -> Callable[[Column], Column]:
-    return lambda text: F.rlike(text, F.lit(pattern))
-
-
-def _email_ok(value: Column, before: Column, after: Column) -> Column:
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    labels = F.split(domain, r"\.")
-    right = F.forall(labels, lambda x: (F.length(x) <= 63) & ~F.rlike(x, F.lit("^-|-$")))
-    return (F.length(value) <= 254) & (F.length(local) <= 64) & ~F.rlike(local, F.lit(r"^\.|\.$|\.\.")) & right & ~F.rlike(before, F.lit(r"[\p{L}\p{N}._%+-]\z")) & ~F.rlike(after, F.lit(r"^[\p{L}\p{N}_-]"))
-
-
-def _ipv4_ok(value: Column, before: Column, after: Column) -> Column:
-    outside = ~F.rlike(before, F.lit(r"[\p{L}\p{N}_]\z|[0-9]\.\z")) & ~F.rlike(after, F.lit(r"^[\p{L}\p{N}_]|^\.[0-9]"))
-    return outside & checks.ipv4(value)
-
-
-def _dob_ok(value: Column, before: Column, after: Column) -> Column:
-    german = F.contains(value, F.lit("."))
-    part = F.split(value, r"[.-]")
-    year, day = F.when(german, F.get(part, 2)).otherwise(F.get(part, 0)), F.when(german, F.get(part, 0)).otherwise(F.get(part, 2))
-    year, month, day = year.try_cast("int"), F.get(part, 1).try_cast("int"), day.try_cast("int")
-    return free(value, before, after) & year.between(1900, 2013) & checks.real_date(year, month, day)
-
-
-def _tax_number_layout(value: Column, before: Column, after: Column) -> Column:
-    return free(value, before, after) & ~F.rlike(after, F.lit("^/[0-9]"))
-
-
-_IPV6 = r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?:[0-9]{0,3}(?:\.[0-9]{1,3}){3})?"
-
-
-def _ipv6_ok(value: Column, before: Column, after: Column) -> Column:
-    groups = F.split(value, ":")
-    filled = F.size(F.filter(groups, lambda g: g != ""))
-    doubled = (F.length(value) - F.length(F.replace(value, F.lit("::"), F.lit("")))) / 2
-    v4 = F.contains(value, F.lit("."))
-    need = F.when(v4, 7).otherwise(8)
-    whole = F.when(doubled == 0, (filled == need) & (F.size(groups) == need)).otherwise((doubled == 1) & (filled < need) & ~F.contains(value, F.lit(":::")) & ((filled > 0)))
-    edges = (~F.rlike(value, F.lit("^:[^:]|[^:]:$")))
-    four = F.when(v4, checks.ipv4(F.element_at(groups, -1))).otherwise(True)
-    return free(value, before, after) & ~F.rlike(before, F.lit(r":\z")) & ~F.rlike(after, F.lit("^:")) & whole & edges & four
-
-
 # fixed values: labels that license a bare identifier
 LABELS = {
     "mac": ("MAC", "BSSID", "hwaddr", "Hardware-Adresse", "Netzwerkadresse", "physical address", "Ethernet"),
@@ -139,136 +34,3 @@ LABELS = {
 # fixed values: words that clear a session token, and cookie or header names that carry one
 CLEARING = "deleted|expired|invalid|none|null|nil|true|false|undefined"
 SESSION_NAMES = "session|sessionid|session_id|sid|phpsessid|jsessionid|asp\\.net_sessionid|connect\\.sid|csrftoken|xsrf-token|auth_token|access_token|refresh_token|id_token|x-auth-token|x-api-key"
-
-_DIGITS_SPACED = r"[0-9](?:[ -]?[0-9]){12,18}"
-
-DETECTORS: tuple[Detector, ...] = (
-    Detector("literal-placeholder", "LITERAL", r"\[[A-Z][A-Z0-9_]{0,60}_[0-9]{1,9}\]", None, _has("[")),
-    # the prefixes of the published key formats; minimum lengths are this library's choice
-    Detector("secret:anthropic", "SECRET", r"sk-ant-[A-Za-z0-9_-]{16,}", free, _has("sk-"), digits=False),
-    Detector("secret:openai", "SECRET", r"sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{20,}", free, _has("sk-"), digits=False),
-    Detector("secret:github", "SECRET", r"(?:gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{22,255})", free, _shape("gh[pousr]_|github_pat_"), digits=False),
-    Detector("secret:aws-access-key", "SECRET", r"(?:AKIA|ASIA)[A-Z0-9]{16}", free, _shape("AKIA|ASIA"), digits=False),
-    Detector("secret:google", "SECRET", r"AIza[A-Za-z0-9_-]{35}", free, _has("AIza"), digits=False),
-    Detector("secret:slack", "SECRET", r"xox[abeoprs]-[A-Za-z0-9-]{10,250}", free, _has("xox"), digits=False),
-    Detector(
-        "secret:jwt", "SECRET", r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}",
-        lambda v, b, a: free(v, b, a) & F.startswith(F.coalesce(F.try_to_binary(_padded(F.substring_index(v, ".", 1)), F.lit("base64")).cast("string"), F.lit("")), F.lit("{")), _has("eyJ"), digits=False),
-    Detector("secret:pem-private-key", "SECRET", r"(?i)-{4,}[ \t]*BEGIN[A-Z0-9 \t]{0,40}PRIVATE[ \t]+KEY[A-Z \t]{0,10}-{4,}[\s\S]{0,16384}?-{4,}[ \t]*END[A-Z0-9 \t]{0,60}-{4,}", None, _shape("(?i)PRIVATE[ \t]+KEY"), digits=False),
-    Detector(
-        "travel-document-mrz", "TRAVEL_DOCUMENT_MRZ", r"P[A-Z<][A-Z<]{42}\r?\n[A-Z0-9<]{44}", lambda v, b, a: free(v, b, a) & checks.mrz_td3(F.right(v, F.lit(44))), _has("<<")
-    ),
-    Detector("session-token", "SESSION_TOKEN", rf"""(?i)((?:{SESSION_NAMES})["']?[ ]?=[ ]?["']?)([A-Za-z0-9+/_.~%-]{{6,4096}})""", lambda v, b, a: ~F.rlike(v, F.lit(f"(?i)^(?:{CLEARING})$")), _has("="), group=2, digits=False),
-    Detector("url-credentials", "URL_CREDENTIALS", r"[A-Za-z][A-Za-z0-9+.-]{1,40}://[^\s:@/?#\"'<>]{1,256}:[^\s@/\"'<>]{1,1024}@[^\s\"'<>]{1,1024}", None, _has("://"), digits=False),
-    Detector("iban", "IBAN", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", _checked(checks.iban), _shape("[A-Z]{2}[0-9]{2}")),
-    Detector("eu-vat-id", "EU_VAT_ID", r"(?:DE ?[0-9]{9}|ATU ?[0-9]{8}|FR ?[0-9A-Z]{2} ?[0-9]{9}|NL ?[0-9]{9}B[0-9]{2}|IE ?[0-9][0-9A-Z][0-9]{5}[A-Z]{1,2})", free, _shape("DE|ATU|FR|NL|IE")),
-    Detector("credit-card", "CREDIT_CARD", _DIGITS_SPACED, _checked(checks.card), _shape("[0-9]{2}")),
-    Detector("imei", "DEVICE_ID", r"[0-9](?:[ -]?[0-9]){14}", lambda v, b, a: free(v, b, a) & checks.imei(_compact(v)) & ~checks.card(_compact(v)), _shape("[0-9]{2}")),
-    Detector("uuid", "DEVICE_ID", r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}", lambda v, b, a: free(v, b, a) & checks.uuid_rfc(v), _has("-")),
-    Detector("uuid-labelled", "DEVICE_ID", r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}", lambda v, b, a: free(v, b, a) & ~checks.uuid_rfc(v), _has("-"), LABELS["uuid"]),
-    Detector("icd10", "ICD_CODE", r"[A-TV-Z][0-9]{2}(?:\.[0-9]{1,2})?[GVZA]?", free, _shape("(?i)ICD|diagnos"), LABELS["icd"]),
-    Detector("german-tax-id", "GERMAN_TAX_ID", r"[1-9](?:[ /]?[0-9]){10}", _checked(checks.tax_id), _shape("[0-9]{2}")),
-    Detector("social-security", "SOCIAL_SECURITY_ID", r"[0-9]{2} ?[0-9]{6} ?[A-Z] ?[0-9]{3}", _checked(checks.svnr), _shape("[0-9] ?[A-Z] ?[0-9]{3}")),
-    Detector("german-id-document", "ID_CARD_NUMBER", r"[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8}[0-9]?", free, _shape("(?i)ausweis|pass"), LABELS["document"], digits=False),
-    Detector("health-insurance", "HEALTH_INSURANCE_ID", r"[A-Z][0-9]{9}", _checked(checks.kvnr), _shape("[A-Z][0-9]{9}")),
-    Detector("health-insurance-labelled", "HEALTH_INSURANCE_ID", r"[A-Z][0-9]{9}", lambda v, b, a: free(v, b, a) & ~checks.kvnr(v), _shape("[A-Z][0-9]{9}"), LABELS["kvnr"]),
-    Detector("steuernummer", "GERMAN_TAX_NUMBER", r"(?:[0-9]{2}/[0-9]{3}/[0-9]{5}|[0-9]{3}/[0-9]{3}/[0-9]{5}|[0-9]{3}/[0-9]{4}/[0-9]{4}|[0-9]{5}/[0-9]{5})", _tax_number_layout, _has("/")),
-    Detector("steuernummer-labelled", "GERMAN_TAX_NUMBER", r"[0-9]{2,5}(?:[ /]?[0-9]{2,5}){1,4}", lambda v, b, a: free(v, b, a) & F.length(_compact(v)).between(10, 13), _shape("(?i)St"), LABELS["tax number"]),
-    Detector("email", "EMAIL", r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.[A-Za-z]{2,24}", _email_ok, _has("@"), digits=False),
-    Detector("commercial-register", "COMMERCIAL_REGISTER_ID", r"(?i)HR[AB][ -]?[0-9]{1,6}(?: ?[A-Z](?![A-Za-z]))?", free, _shape("(?i)HR[AB]")),
-    Detector("driver-licence", "DRIVER_LICENCE_ID", r"[A-Z0-9]{11}", lambda v, b, a: free(v, b, a) & F.rlike(v, F.lit("[A-Z]")) & F.rlike(v, F.lit("[0-9]")), _shape("(?i)f(?:ü|ue)hrerschein|FS-Nr|fahrerlaubnis"), LABELS["licence"]),
-    Detector("aba-routing", "BANK_ACCOUNT", r"[0-9]{9}", _checked(checks.aba), _shape("(?i)routing|ABA|RTN"), LABELS["routing"], 20),
-    Detector("account-labelled", "BANK_ACCOUNT", r"[0-9](?: ?[0-9]){3,9}", free, _shape("(?i)kto|konto|acc"), LABELS["account"], 20),
-    Detector("ipv6", "IPV6", _IPV6, _ipv6_ok, _has(":"), digits=False),
-    Detector("ipv4", "IPV4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", _ipv4_ok, _shape(r"[0-9]\.[0-9]")),
-    Detector("mac", "MAC", r"(?:[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4})", lambda v, b, a: free(v, b, a) & ~F.rlike(b, F.lit(r"[:-]\z")) & ~F.rlike(a, F.lit("^[:-][0-9A-Fa-f]{1}")), _shape("[0-9A-Fa-f]{2}[:.-][0-9A-Fa-f]{2}"), digits=False),
-    Detector("mac-labelled", "MAC", r"[0-9A-Fa-f]{12}", lambda v, b, a: free(v, b, a) & F.rlike(v, F.lit("[0-9]")), _shape("(?i)MAC|BSSID|hwaddr|adresse|address|ethernet"), LABELS["mac"], digits=False),
-    Detector("bic", "BIC", r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?", free, _shape("(?i)BIC|SWIFT"), LABELS["bic"], 16, digits=False),
-    Detector("postal-address", "POSTAL_ADDRESS", r"\p{Lu}[\p{L}-]{0,40}(?:straße|strasse|str\.|chaussee|allee) ?[0-9]{1,3}[a-z]?(?:,? [0-9]{5} \p{Lu}[\p{L}-]{2,30})?", free, _shape("(?i)straße|strasse|str\\.|chaussee|allee")),
-    Detector("postal-address-labelled", "POSTAL_ADDRESS", r"\p{Lu}[\p{L}-]{0,40}(?:weg|platz|gasse|ring|damm|ufer|steig) ?[0-9]{1,3}[a-z]?", free, _shape("(?i)weg|platz|gasse|ring|damm|ufer|steig"), LABELS["address"]),
-    Detector("date-of-birth", "DATE_OF_BIRTH", r"(?:[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})", _dob_ok, _shape("[0-9]{4}")),
-    Detector("phone-nanp", "PHONE", r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[0-9]{3}[ .-][0-9]{4}", free, _shape("[0-9]{3}[ .-][0-9]{4}")),
-    Detector("phone-international", "PHONE", r"(?:\+|00)[1-9](?:[ /().-]{0,2}[0-9]){7,14}", lambda v, b, a: ~F.rlike(b, F.lit(r"[\p{L}\p{N}+]\z")) & ~_word(a) & (F.length(F.regexp_replace(v, r"[^(]", "")) == F.length(F.regexp_replace(v, r"[^)]", ""))), _shape(r"\+[0-9]|00[0-9]")),
-    Detector("phone-labelled", "PHONE", r"0[1-9](?:[ /().-]{0,2}[0-9]){4,11}", free, _shape("[0-9]{3}"), LABELS["phone"]),
-    Detector("vehicle-plate", "VEHICLE_PLATE", r"[A-ZÄÖÜ]{1,3}[ -][A-Z]{1,2} ?[0-9]{1,4}[EH]?", free, _shape("(?i)kennzeichen|nummernschild"), LABELS["plate"], 32),
-    Detector("postcode", "POSTCODE", r"(?:DE?-)[0-9]{5}", free, _has("-")),
-    Detector("postcode-labelled", "POSTCODE", r"[0-9]{5}", lambda v, b, a: free(v, b, a) & ~F.startswith(v, F.lit("00")), _shape("(?i)PLZ|post"), LABELS["postcode"], 16),
-)
-BY_NAME = {d.name: d for d in DETECTORS}
-
-
-def _padded(base64url: Column) -> Column:
-    plain = F.translate(base64url, "-_", "+/")
-    return F.concat(plain, F.repeat(F.lit("="), ((4 - F.length(plain) % 4) % 4).cast("int")))
-
-
-def _label_near(text: Column, start: Column, end: Column, labels: tuple[str, ...], window: int) -> Column:
-    """A label in the window before or after, at a word start or end; separators inside labels are free."""
-    words = "|".join("[^\\p{L}\\p{N}]*".join(re.findall(r"\w+", label)) for label in labels)
-    before = F.substring(text, F.greatest(start + 1 - window, F.lit(1)), F.least(start, F.lit(window)))
-    after = F.substring(text, end + 1, F.lit(window))
-    hit = F.lit(f"(?iu)(?:^|[^\\p{{L}}\\p{{N}}])(?:{words})|(?:{words})(?:$|[^\\p{{L}}\\p{{N}}])")
-    return F.rlike(before, hit) | F.rlike(after, hit)
-
-
-def spans_of(text: Column, detector: Detector, has_digit: Column | None = None) -> Column:
-    """Array of SPAN of one detector; ``has_digit``: whether the text holds a digit, if known."""
-    pattern = F.lit(detector.pattern)
-    both = {"m": F.regexp_extract_all(text, pattern, F.lit(0)), "gap": F.split(text, detector.pattern, -1)}
-    if detector.group:
-        both |= {"head": F.regexp_extract_all(text, pattern, F.lit(1)), "v": F.regexp_extract_all(text, pattern, F.lit(detector.group))}
-
-    def add(state: Column, z: Column) -> Column:
-        start = state["at"] + F.char_length(z["gap"])
-        inner = start + F.char_length(z["head"]) if detector.group else start
-        item = F.struct(inner.cast("int").alias("start"), (inner + F.char_length(z["v"])).cast("int").alias("end"), z["v"].alias("value"), F.right(z["gap"], F.lit(2)).alias("before"), F.left(z["next"], F.lit(3)).alias("after"))
-        return F.struct((start + F.char_length(z["m"])).cast("int").alias("at"), F.concat(state["spans"], F.array(item)).alias("spans"))
-
-    def kept(s: Column) -> Column:
-        ok = F.lit(True) if detector.check is None else F.coalesce(detector.check(s["value"], s["before"], s["after"]), F.lit(False))
-        return ok & _label_near(text, s["start"], s["end"], detector.labels, detector.window) if detector.labels else ok
-
-    def placed(x: Column) -> Column:
-        n = F.size(x["m"])
-        parts = [x["m"].alias("m"), x["v" if detector.group else "m"].alias("v"), F.slice(x["gap"], F.lit(1), n).alias("gap"), F.slice(x["gap"], F.lit(2), n).alias("next")]
-        if detector.group:
-            parts.append(x["head"].alias("head"))
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>").alias("spans"))
-        return F.transform(
-            F.filter(F.aggregate(F.arrays_zip(*parts), empty, add)["spans"], kept),
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(detector.kind).alias("kind"), s["value"].alias("value"), F.lit(detector.name).alias("detector"), F.lit(detector.rank).alias("priority")),
-        )
-
-    # matches and gaps are bound once, as the only element of an array
-    typed = F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in both.items()])), placed), 0)
-    gate = detector.gate(text) if detector.gate is not None else F.lit(True)
-    if has_digit is not None and detector.digits:
-        gate = has_digit & gate
-    return F.when(gate & F.rlike(text, pattern), typed).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-
-def candidates(text: Column, detectors: tuple[Detector, ...] = DETECTORS, has_digit: Column | None = None) -> Column:
-    """All spans of the detectors, overlaps included; a null text has none."""
-    return F.flatten(F.array(*[F.coalesce(spans_of(text, d, has_digit), F.array().cast(f"array<{SPAN}>")) for d in detectors]))
-
-
-def custom(name: str, pattern: str) -> Detector:
-    """A user's pattern as a detector; rejects what can backtrack without bound."""
-    if len(pattern) > 1000:
-        raise ValueError("pattern is longer than 1000 characters")
-    if re.search(r"\([^)]*[+*][^)]*\)[+*{]", pattern) or re.search(r"\\[1-9]", pattern):
-        raise ValueError("pattern nests repetitions or refers back")
-    kind = re.sub(r"[^A-Z0-9]+", "_", name.upper()).strip("_")
-    if not kind or not kind[0].isalpha():
-        raise ValueError("name must start with a letter")
-    return Detector(f"custom:{kind}", kind, pattern, None, None, priority=CUSTOM_PRIORITY, digits=False)
-
-
-def found(df: DataFrame, text: str = "text", detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
-    """The rows with ``spans``, resolved and disjoint, in order of start."""
-    from umbra.operators.resolve import resolved
-
-    # the candidates are a column of their own, so that resolution reads them instead of finding them again
-    df = df.withColumn("_digit", F.rlike(text, F.lit("[0-9]")))
-    df = df.withColumn("_candidates", candidates(F.col(text), detectors, F.col("_digit"))).drop("_digit")
-    return df.withColumn("spans", resolved(F.col("_candidates"))).drop("_candidates")

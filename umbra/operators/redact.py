@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
+import re
+from collections import Counter
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,69 +47,106 @@ def masked(value: Column) -> Column:
     return F.when(n <= 4, F.repeat(F.lit("•"), n)).otherwise(F.concat(F.left(flat, F.lit(2)), F.repeat(F.lit("•"), F.least(F.lit(6), n - 4)), F.right(flat, F.lit(2))))
 
 
-def numbered(spans: Column) -> Column:
-    """Ordinal of each span's value among its kind's values in order of first appearance, skipping numbers that the text uses literally."""
-    literals = F.transform(F.filter(spans, lambda s: s["kind"] == "LITERAL"), lambda s: s["value"])
-
-    def ordinal(s: Column) -> Column:
-        own = F.filter(spans, lambda o: (o["kind"] == s["kind"]) & (o["start"] <= s["start"]))
-        position = F.array_position(F.array_distinct(F.transform(own, lambda o: o["value"])), s["value"])
-        all_own = F.size(F.array_distinct(F.transform(F.filter(spans, lambda o: o["kind"] == s["kind"]), lambda o: o["value"])))
-        first_all = F.array_distinct(F.transform(F.filter(spans, lambda o: o["kind"] == s["kind"]), lambda o: o["value"]))
-        position = F.array_position(first_all, s["value"]).cast("int")
-        free = F.filter(F.sequence(F.lit(1), all_own + F.size(literals)), lambda i: ~F.array_contains(literals, F.concat(F.lit("["), s["kind"], F.lit("_"), i.cast("string"), F.lit("]"))))
-        return F.get(free, position - 1)
-
-    return F.transform(spans, ordinal)
-
-
-def replacement(span: Column, number: Column, policy: Column, key: bytes) -> Column:
-    """Text put in place of a span, null where it stays."""
-    return (
-        F.when(policy == "pseudonymize", F.concat(F.lit("["), span["kind"], F.lit("_"), number.cast("string"), F.lit("]")))
-        .when(policy == "redact", F.concat(F.lit("["), span["kind"], F.lit("_REDACTED]")))
-        .when(policy == "hash", hash_token(span["kind"], span["value"], key))
-    )
-
-
-def rewritten(text: Column, spans: Column, replacements: Column) -> Column:
-    """The text with each span replaced (null: left as it is)."""
-    pieces = F.transform(
-        spans,
-        lambda s, i: F.concat(
-            F.substring(text, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))),
-            F.coalesce(F.get(replacements, i), s["value"]),
-        ),
-    )
-    last = F.coalesce(F.element_at(F.transform(spans, lambda s: s["end"]), -1), F.lit(0))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.char_length(text))))
+@dataclass
+class Session:
+    """Placeholders of one session, over any number of texts: equal values of a kind share one, numbers used literally are skipped."""
+
+    key: bytes
+    policies: dict[str, str] = field(default_factory=dict)
+    default: str = "pseudonymize"
+    tokens: dict[str, str] = field(default_factory=dict)
+    _of_value: dict[tuple[str, str], str] = field(default_factory=dict)
+    _next: dict[str, int] = field(default_factory=dict)
+    _literal: set[str] = field(default_factory=set)
+
+    def policy(self, kind: str) -> str:
+        return "pseudonymize" if kind == "LITERAL" else self.policies.get(kind, self.default)
+
+    def _placeholder(self, kind: str, value: str) -> str:
+        token = self._of_value.get((kind, value))
+        if token is None:
+            n = self._next.get(kind, 0)
+            while True:
+                n += 1
+                token = f"[{kind}_{n}]"
+                if token not in self._literal and token not in self.tokens:
+                    break
+            self._next[kind] = n
+            self._of_value[kind, value] = token
+            self.tokens[token] = value
+        return token
+
+    def replacement(self, kind: str, value: str) -> str | None:
+        """Text put in place of a span, none where it stays."""
+        policy = self.policy(kind)
+        if policy == "pseudonymize":
+            return self._placeholder(kind, value)
+        if policy == "redact":
+            return f"[{kind}_REDACTED]"
+        if policy == "hash":
+            return f"[{kind}:{hmac.new(self.key, f'{kind}\0{value}'.encode(), hashlib.sha256).hexdigest()[:HASH_CHARS]}]"
+        return None
+
+    def blocked(self, spans: list[tuple]) -> dict[str, int]:
+        """Findings per kind that must not leave."""
+        return dict(Counter(s[2] for s in spans if self.policy(s[2]) == "block"))
+
+    def redact(self, text: str, spans: list[tuple]) -> str:
+        """The text with its disjoint spans (start, end, kind, ...), in order, replaced."""
+        self._literal.update(text[s[0] : s[1]] for s in spans if s[2] == "LITERAL")
+        parts, at = [], 0
+        for start, end, kind, *_ in spans:
+            new = self.replacement(kind, text[start:end])
+            parts += [text[at:start], text[start:end] if new is None else new]
+            at = end
+        parts.append(text[at:])
+        return "".join(parts)
+
+    def restore(self, text: str) -> str:
+        return _KNOWN.sub(lambda m: self.tokens.get(m[0], m[0]), text)
 
 
 def redacted(df: DataFrame, key: bytes, policies: dict[str, str] | None = None, default: str = "pseudonymize", text: str = "text") -> DataFrame:
-    """Adds ``redacted``, ``tokens`` (placeholder to value) and ``blocked`` to rows with ``spans``.
+    """Adds ``redacted``, ``tokens`` (placeholder to value), ``blocked`` and ``blocked_counts`` to rows with ``spans``.
 
+    Each text is a session of its own; the cost is linear in the text and its findings.
     A blocked text gives a null ``redacted``; nothing is raised inside a job.
     """
     policies = policies or {}
-    spans = F.col("spans")
-    df = df.withColumn("_numbers", numbered(spans))
-    items = F.transform(spans, lambda s, i: replacement(s, F.get(F.col("_numbers"), i), policy_of(s["kind"], policies, default), key))
-    df = df.withColumn("_items", items).withColumn("blocked", F.exists(spans, lambda s: policy_of(s["kind"], policies, default) == "block"))
-    out = F.when(~F.col("blocked"), rewritten(F.col(text), spans, F.col("_items")))
-    pairs = F.filter(F.arrays_zip(F.col("_items").alias("token"), F.transform(spans, lambda s: s["value"]).alias("value"), F.transform(spans, lambda s: policy_of(s["kind"], policies, default)).alias("policy")), lambda p: p["policy"] == "pseudonymize")
-    tokens = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["token"], p["value"]))))
-    return df.withColumn("redacted", out).withColumn("tokens", tokens).drop("_numbers", "_items")
+    policy_of(F.lit(""), policies, default)  # raises on unknown policies
+
+    @F.arrow_udf("struct<redacted:string,tokens:map<string,string>,counts:map<string,long>>")
+    def rewrite(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out, tokens, counts = [], [], []
+        for value, spans in zip(texts, found):
+            value, session = value.as_py(), Session(key, policies, default)
+            listed = [(s["start"], s["end"], s["kind"]) for s in spans.as_py() or ()]
+            stopped = session.blocked(listed)
+            out.append(None if value is None or stopped else session.redact(value, listed))
+            tokens.append(list(session.tokens.items()))
+            counts.append(list(stopped.items()))
+        pairs = pa.map_(pa.string(), pa.string())
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(tokens, pairs), pa.array(counts, pa.map_(pa.string(), pa.int64()))], names=["redacted", "tokens", "counts"])
+
+    df = df.withColumn("_r", rewrite(F.col(text).cast("string"), F.col("spans")))
+    return df.withColumns({"redacted": F.col("_r.redacted"), "tokens": F.col("_r.tokens"), "blocked": F.size("_r.counts") > 0, "blocked_counts": F.col("_r.counts")}).drop("_r")
 
 
 PLACEHOLDER = r"\[[A-Z][A-Z0-9_]{0,60}_[0-9]{1,9}\]"
+_KNOWN = re.compile(PLACEHOLDER)
+
+
+def _restored(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+    out = []
+    for text, known in zip(texts, tokens):
+        text, known = text.as_py(), dict(known.as_py() or ())
+        out.append(None if text is None else _KNOWN.sub(lambda m: known.get(m[0], m[0]), text))
+    return pa.array(out, pa.string())
 
 
 def restored(text: Column, tokens: Column) -> Column:
     """Known placeholders replaced by their values in one pass; unknown ones stay."""
-    found, gaps = F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)), F.split(text, PLACEHOLDER, -1)
-    values = F.transform(found, lambda t: F.coalesce(F.try_element_at(tokens, t), t))
-    joined = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(values, i), F.lit(""))))
-    return F.array_join(joined, "")
+    return F.arrow_udf(_restored, "string")(text, tokens)
 
 
 def session_numbers(findings: DataFrame, session: str, order: list[str]) -> DataFrame:

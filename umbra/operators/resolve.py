@@ -1,28 +1,26 @@
-"""Overlap resolution: the preferred disjoint spans of a text."""
+"""Overlap resolution of spans that are already a column."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from umbra.operators import engine
 from umbra.operators.detect import SPAN
 
 
-def preferred_first(spans: Column) -> Column:
-    """Longest first, then priority, start, detector and kind."""
-    keyed = F.transform(
-        spans,
-        lambda s: F.struct((s["start"] - s["end"]).alias("by_length"), (-s["priority"]).alias("by_priority"), s["start"].alias("by_start"), s["detector"].alias("by_detector"), s["kind"].alias("by_kind"), s.alias("span")),
-    )
-    return F.transform(F.array_sort(F.array_distinct(keyed)), lambda k: k["span"])
+def _resolved(spans: pa.Array) -> pa.Array:
+    out = []
+    for row in spans:
+        if not row.is_valid:
+            out.append(None)
+            continue
+        by = {(s["start"], s["end"], s["kind"], s["detector"], s["priority"]): s for s in row.as_py()}
+        out.append([by[s] for s in engine.resolve(by)])
+    return pa.array(out, spans.type)
 
 
 def resolved(spans: Column) -> Column:
-    """Greedy choice in order of preference; a suppressed span suppresses nothing.  In order of start."""
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def take(chosen: Column, s: Column) -> Column:
-        clash = F.exists(chosen, lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"]))
-        return F.when(clash, chosen).otherwise(F.concat(chosen, F.array(s)))
-
-    return F.when(F.size(spans) <= 1, spans).otherwise(F.array_sort(F.aggregate(preferred_first(spans), none, take)))
+    """Greedy choice: longest first, then priority, start, detector and kind; a suppressed span suppresses nothing.  In order of start."""
+    return F.arrow_udf(_resolved, f"array<{SPAN}>")(spans)

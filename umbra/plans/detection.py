@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.operators import detect, redact
+from umbra.operators import engine, redact
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,15 +23,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def chosen(*names: str) -> engine.Options:
+    return engine.Options(frozenset(names), copies=False, last_birth_year=2013) if names else engine.Options(last_birth_year=2013)
+
+
 def findings(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    chosen = tuple(detect.BY_NAME[n] for n in names) if names else detect.DETECTORS
     rows = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
-    return detect.found(rows, detectors=chosen).select("doc_id", "lang", "source", F.explode("spans").alias("s")).select("doc_id", "lang", "source", "s.*")
+    return engine.found_in(rows, "text", chosen(*names)).select("doc_id", "lang", "source", F.explode("spans").alias("s")).select("doc_id", "lang", "source", "s.*")
 
 
 @query
 def findings_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: all native detectors over all documents, resolved, tallied by kind and language."""
+    """Flagship: all detectors over all documents and their scan copies, resolved, tallied by kind and language."""
     return findings(spark, sf_dir).groupBy("kind", "lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -51,6 +54,8 @@ def spans_sql(pattern: str, ok: str = "true", source: str = "documents", text: s
 
 
 _FREE = r"not regexp_matches({before}, '[\p{{L}}\p{{N}}_]\z') and not regexp_matches({after}, '^[\p{{L}}\p{{N}}_]')"
+_IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+_NANP = r"(?:\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}|(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[0-9]{3}[ .-][0-9]{4})"
 _IPV4_OK = (
     r"not regexp_matches({before}, '[\p{{L}}\p{{N}}_]\z|[0-9]\.\z') and not regexp_matches({after}, '^[\p{{L}}\p{{N}}_]|^\.[0-9]') "
     r"and list_bool_and(list_transform(string_split(value, '.'), lambda x: x::int <= 255 and (x = '0' or x[1] <> '0')))"
@@ -62,7 +67,7 @@ def ipv4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir, "ipv4").select("doc_id", "start", "end", "value")
 
 
-ORACLES["ipv4_spans"] = f'select doc_id, "start", "end", value from {spans_sql(detect.BY_NAME["ipv4"].pattern, _IPV4_OK)}'
+ORACLES["ipv4_spans"] = f'select doc_id, "start", "end", value from {spans_sql(_IPV4, _IPV4_OK)}'
 
 
 @query
@@ -70,7 +75,7 @@ def ipv4_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir, "ipv4").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-ORACLES["ipv4_by_lang"] = f'select lang, count(*) as n, count(distinct doc_id) as n_docs from {spans_sql(detect.BY_NAME["ipv4"].pattern, _IPV4_OK)} join documents using (doc_id) group by lang'
+ORACLES["ipv4_by_lang"] = f'select lang, count(*) as n, count(distinct doc_id) as n_docs from {spans_sql(_IPV4, _IPV4_OK)} join documents using (doc_id) group by lang'
 
 _EMAIL_OK = (
     r"length(value) <= 254 and length(split_part(value, '@', 1)) <= 64 and not regexp_matches(split_part(value, '@', 1), '^\.|\.$|\.\.') "
@@ -95,7 +100,7 @@ ORACLES["email_spans"] = f'select doc_id, "start", "end", value from {spans_sql(
 def email_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     both = documents(spark, sf_dir).select("doc_id", "text", F.lit("document").alias("origin")).unionByName(pages.withColumn("origin", F.lit("page")))
-    found = detect.found(both, detectors=(detect.BY_NAME["email"],)).select("origin", F.explode("spans").alias("s"))
+    found = engine.found_in(both, "text", chosen("email")).select("origin", F.explode("spans").alias("s"))
     return found.groupBy("origin", F.lower(F.substring_index("s.value", "@", -1)).alias("domain")).agg(F.count("*").alias("n"))
 
 
@@ -108,20 +113,24 @@ select origin, lower(split_part(value, '@', -1)) as domain, count(*) as n from (
 
 @query
 def phone_nanp_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir, "phone-nanp").select("doc_id", "start", "end", "value")
+    return findings(spark, sf_dir, "phone").select("doc_id", "start", "end", "value")
 
 
-ORACLES["phone_nanp_spans"] = f'select doc_id, "start", "end", value from {spans_sql(detect.BY_NAME["phone-nanp"].pattern, _FREE)}'
+ORACLES["phone_nanp_spans"] = f'select doc_id, "start", "end", value from {spans_sql(_NANP, _FREE)}'
 
 
 def _card_sql() -> str:
+    """From the rule: whole digit groups with one space or hyphen between, the most groups from each start that are a card."""
     from umbra.plans.identifiers import _ISSUER_SQL
 
-    luhn = "list_sum(list_transform(range(length(d)), lambda i: case when i % 2 = 0 then d[length(d) - i]::int else (d[length(d) - i]::int * 2) // 10 + (d[length(d) - i]::int * 2) % 10 end)) % 10 = 0"
-    return (
-        f"""select doc_id, "start", "end", spanned as value from (select doc_id, "start", "end", value as spanned, regexp_replace(value, '[^0-9]', '', 'g') as d, d as value from {spans_sql(detect.BY_NAME["credit-card"].pattern, _FREE)})"""
-        f" where {_ISSUER_SQL} is not null and {luhn}"
-    )
+    luhn = "list_sum(list_transform(range(length(value)), lambda i: case when i % 2 = 0 then value[length(value) - i]::int else (value[length(value) - i]::int * 2) // 10 + (value[length(value) - i]::int * 2) % 10 end)) % 10 = 0"
+    return f"""
+with runs as (select doc_id, "start" as run_at, value as run, string_split(translate(value, '-', ' '), ' ') as g from {spans_sql("[0-9]+(?:[ -][0-9]+)*", _FREE)} where length(value) >= 13),
+firsts as (select *, unnest(range(1, len(g) + 1)) as i from runs), pieces as (select *, unnest(range(i, len(g) + 1)) as j from firsts),
+tried as (select doc_id, run_at, run, i, j, array_to_string(g[i:j], '') as value, (length(array_to_string(g[1:i - 1], '')) + i - 1)::int as off, length(array_to_string(g[i:j], ' '))::int as size from pieces),
+good as (select * from tried where length(value) between 13 and 19 and ({_ISSUER_SQL}) is not null and {luhn} qualify row_number() over (partition by doc_id, run_at, i order by j desc) = 1),
+apart as (select * from good qualify i > coalesce(max(j) over (partition by doc_id, run_at order by i rows between unbounded preceding and 1 preceding), 0))
+select doc_id, (run_at + off)::int as "start", (run_at + off + size)::int as "end", substr(run, off + 1, size) as value from apart"""
 
 
 @query
@@ -135,9 +144,9 @@ ORACLES["card_spans"] = _card_sql()
 @query
 def session_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token assignments of the documents: name, equals sign, value."""
-    rule = detect.custom("token assignment", r"token = \"[0-9a-f]{6,64}\"")
     rows = documents(spark, sf_dir).select("doc_id", "text")
-    return detect.found(rows, detectors=(rule,)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.kind", redact.masked(F.col("s.value")).alias("preview"))
+    options = engine.Options(frozenset(), copies=False, custom=(("token assignment", r"token = \"[0-9a-f]{6,64}\""),))
+    return engine.found_in(rows, "text", options).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.kind", redact.masked(F.col("s.value")).alias("preview"))
 
 
 ORACLES["session_token_spans"] = f"""
@@ -160,7 +169,7 @@ from (select p_partkey, regexp_replace(p_name, '\s', ' ', 'g') as v from part)
 @query
 def line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1-based line and column of each address."""
-    rows = detect.found(documents(spark, sf_dir).select("doc_id", "text"), detectors=(detect.BY_NAME["ipv4"],))
+    rows = engine.found_in(documents(spark, sf_dir).select("doc_id", "text"), "text", chosen("ipv4"))
     rows = rows.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("start"), F.substring("text", F.lit(1), F.col("s.start")).alias("head"))
     line = F.char_length("head") - F.char_length(F.replace("head", F.lit("\n"), F.lit(""))) + 1
     return rows.select("doc_id", "start", line.alias("line"), (F.char_length(F.substring_index("head", "\n", -1)) + 1).alias("column_no"))
@@ -169,18 +178,18 @@ def line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["line_column"] = f"""
 select doc_id, "start", (length(left(text, "start")) - length(replace(left(text, "start"), chr(10), '')) + 1)::int as line,
   (length(split_part(left(text, "start"), chr(10), -1)) + 1)::int as column_no
-from {spans_sql(detect.BY_NAME["ipv4"].pattern, _IPV4_OK)} join documents using (doc_id)
+from {spans_sql(_IPV4, _IPV4_OK)} join documents using (doc_id)
 """
 
 
 @query
 def counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = findings(spark, sf_dir, "ipv4", "email", "phone-nanp")
+    rows = findings(spark, sf_dir, "ipv4", "email", "phone")
     return rows.rollup("source", "kind").agg(F.count("*").alias("n")).select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("kind", F.lit("all")).alias("kind"), "n")
 
 
 _THREE = " union all ".join(
-    f"select doc_id, '{kind}' as kind from {spans_sql(pattern, ok)}" for pattern, kind, ok in ((detect.BY_NAME["ipv4"].pattern, "IPV4", _IPV4_OK), (_EMAIL, "EMAIL", _EMAIL_OK), (detect.BY_NAME["phone-nanp"].pattern, "PHONE", _FREE))
+    f"select doc_id, '{kind}' as kind from {spans_sql(pattern, ok)}" for pattern, kind, ok in ((_IPV4, "IPV4", _IPV4_OK), (_EMAIL, "EMAIL", _EMAIL_OK), (_NANP, "PHONE", _FREE))
 )
 ORACLES["counts_rollup"] = f"select coalesce(source, 'all') as source, coalesce(kind, 'all') as kind, count(*) as n from ({_THREE}) join documents using (doc_id) group by rollup (source, kind)"
 
@@ -188,7 +197,7 @@ ORACLES["counts_rollup"] = f"select coalesce(source, 'all') as source, coalesce(
 @query
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonymized texts of documents with findings, and whether restoring gives the text back."""
-    rows = detect.found(documents(spark, sf_dir).select("doc_id", "text"), detectors=(detect.BY_NAME["literal-placeholder"], *[detect.BY_NAME[n] for n in ("ipv4", "email", "phone-nanp", "credit-card")]))
+    rows = engine.found_in(documents(spark, sf_dir).select("doc_id", "text"), "text", chosen())
     rows = redact.redacted(rows.where(F.size("spans") > 0), KEY)
     back = redact.restored(F.col("redacted"), F.col("tokens")) == F.col("text")
     return rows.select("doc_id", F.size("spans").alias("n_spans"), F.size("tokens").alias("n_tokens"), F.sha2("redacted", 256).alias("redacted_sha256"), back.alias("restores"))
@@ -205,7 +214,7 @@ def _pad_sql(pad: int) -> str:
 
 ORACLES["hash_tokens"] = f"""
 select doc_id, "start", '[IPV4:' || left(sha256({_pad_sql(0x5C)} || unhex(sha256({_pad_sql(0x36)} || encode('IPV4' || chr(0) || value)))), 12) || ']' as token
-from {spans_sql(detect.BY_NAME["ipv4"].pattern, _IPV4_OK)}
+from {spans_sql(_IPV4, _IPV4_OK)}
 """
 
 
@@ -216,7 +225,7 @@ def pseudonym_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["pseudonym_ordinals"] = f"""
-with f as (select doc_id, "start", value, 'IPV4' as kind from {spans_sql(detect.BY_NAME["ipv4"].pattern, _IPV4_OK)} union all select doc_id, "start", value, 'EMAIL' from {spans_sql(_EMAIL, _EMAIL_OK)}),
+with f as (select doc_id, "start", value, 'IPV4' as kind from {spans_sql(_IPV4, _IPV4_OK)} union all select doc_id, "start", value, 'EMAIL' from {spans_sql(_EMAIL, _EMAIL_OK)}),
 g as (select source, kind, value, min((doc_id, "start")) as first from f join documents using (doc_id) group by all)
 select source, kind, value, row_number() over (partition by source, kind order by first)::int as ordinal from g
 """
