@@ -80,3 +80,31 @@ def usage_tokens(body: Column) -> Column:
     parts = [number(f"$.{at}usage.{k}_tokens") for at in ("", "message.") for k in ("prompt", "completion", "input", "output")]
     summed = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0))))
     return F.coalesce(*totals, summed)
+
+
+def latest_sessions(sessions: DataFrame, owner: str, at_ms: str, order: str, now_ms: Column, most: int = 16, ttl_ms: int = 1_800_000) -> DataFrame:
+    """The sessions of an owner that live: used within the time to live, the latest ``most`` of them."""
+    live = sessions.where(now_ms - F.col(at_ms) < ttl_ms)
+    by = Window.partitionBy(owner).orderBy(F.desc(at_ms), F.desc(order))
+    return live.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= most).drop("_r")
+
+
+def throttled(warnings: DataFrame, kind: str, at_ms: str, order: str, every_ms: int = 60_000) -> DataFrame:
+    """The first warning of a kind in each interval."""
+    by = Window.partitionBy(kind, F.floor(F.col(at_ms) / every_ms)).orderBy(at_ms, order)
+    return warnings.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
+
+
+def key_hash(key: Column) -> Column:
+    """What is stored of a tenant's key."""
+    return F.sha2(key, 256)
+
+
+def authenticated(requests: DataFrame, key: str, tenants: DataFrame) -> DataFrame:
+    """Adds ``tenant_id`` (null: no tenant has the key) from rows ``tenant_id, key_hash``."""
+    return requests.join(F.broadcast(tenants.withColumnRenamed("key_hash", "_h")), key_hash(F.col(key)) == F.col("_h"), "left").drop("_h")
+
+
+def tally(checks: DataFrame, *keys: str) -> DataFrame:
+    """Checks per severity, a column each."""
+    return checks.groupBy(*keys).pivot("severity", ["ok", "note", "warn", "fail"]).count().fillna(0)

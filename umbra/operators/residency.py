@@ -17,23 +17,28 @@ ADEQUATE = {
     "IM": "Isle of Man", "JE": "Jersey", "JP": "Japan", "KR": "Republic of Korea", "NZ": "New Zealand", "UY": "Uruguay",
 }
 OTHER = {"US": ("United States", "third-country"), "LOCAL": ("Your own infrastructure", "local"), "UNKNOWN": ("Undeclared", "unknown")}
-# fixed values: public endpoints (id, host or *.suffix, jurisdiction, data controls)
+# fixed values: public hosts of model providers (host or *.suffix) with their jurisdiction; the ids are ours
 ENDPOINTS = [
-    ("openai.api", "api.openai.com", "US", "no-training,store-off"),
-    ("anthropic.api", "api.anthropic.com", "US", "no-training,zero-retention"),
-    ("google.generativelanguage", "generativelanguage.googleapis.com", "US", "no-training"),
-    ("azure.openai", "*.openai.azure.com", "UNKNOWN", "no-training,zero-retention"),
-    ("azure.openai", "*.cognitiveservices.azure.com", "UNKNOWN", "no-training,zero-retention"),
-    ("mistral.api", "api.mistral.ai", "FR", "no-training"),
-    ("alephalpha.api", "api.aleph-alpha.com", "DE", "no-training"),
-    ("ionos.inference", "inference.de-txl.ionos.com", "DE", "no-training"),
-    ("ionos.inference", "openai.inference.de-txl.ionos.com", "DE", "no-training"),
-    ("ovh.endpoints", "*.endpoints.kepler.ai.cloud.ovh.net", "FR", "no-training"),
-    ("ovh.endpoints", "*.endpoints.ai.cloud.ovh.net", "FR", "no-training"),
-    ("scaleway.generative", "api.scaleway.ai", "FR", "no-training"),
-    ("local.runtime", "localhost", "LOCAL", "no-training,zero-retention"),
-    ("local.runtime", "127.0.0.1", "LOCAL", "no-training,zero-retention"),
-    ("local.runtime", "host.docker.internal", "LOCAL", "no-training,zero-retention"),
+    ("openai", "api.openai.com", "US", "no-training,store-off"),
+    ("anthropic", "api.anthropic.com", "US", "no-training,zero-retention"),
+    ("google-gemini", "generativelanguage.googleapis.com", "US", "no-training"),
+    ("azure", "*.openai.azure.com", "UNKNOWN", "no-training,zero-retention"),
+    ("azure", "*.cognitiveservices.azure.com", "UNKNOWN", "no-training,zero-retention"),
+    ("bedrock-frankfurt", "bedrock-runtime.eu-central-1.amazonaws.com", "DE", "no-training"),
+    ("bedrock-ireland", "bedrock-runtime.eu-west-1.amazonaws.com", "IE", "no-training"),
+    ("bedrock-paris", "bedrock-runtime.eu-west-3.amazonaws.com", "FR", "no-training"),
+    ("bedrock-stockholm", "bedrock-runtime.eu-north-1.amazonaws.com", "SE", "no-training"),
+    ("mistral", "api.mistral.ai", "FR", "no-training"),
+    ("aleph-alpha", "api.aleph-alpha.com", "DE", "no-training"),
+    ("ionos", "inference.de-txl.ionos.com", "DE", "no-training"),
+    ("ionos", "openai.inference.de-txl.ionos.com", "DE", "no-training"),
+    ("ovhcloud", "*.endpoints.kepler.ai.cloud.ovh.net", "FR", "no-training"),
+    ("ovhcloud", "*.endpoints.ai.cloud.ovh.net", "FR", "no-training"),
+    ("scaleway", "api.scaleway.ai", "FR", "no-training"),
+    ("on-premises", "localhost", "LOCAL", "no-training,zero-retention"),
+    ("on-premises", "127.0.0.1", "LOCAL", "no-training,zero-retention"),
+    ("on-premises", "[::1]", "LOCAL", "no-training,zero-retention"),
+    ("on-premises", "host.docker.internal", "LOCAL", "no-training,zero-retention"),
 ]
 STRICTNESS = ["allow", "warn", "sanitize", "block"]
 
@@ -101,3 +106,25 @@ def enforcement(requests: DataFrame, key: str, mode: str, routes: dict[str, str]
     strict = F.array_position(F.array(*[F.lit(m) for m in STRICTNESS]), F.col("mode"))
     best = Window.partitionBy(key).orderBy(strict.desc(), "general", "kind")
     return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(key, "mode", "rule")
+
+
+def proxyable(spark: SparkSession) -> DataFrame:
+    """Endpoints with their place in the list shown to people: those inside the EEA first, by id."""
+    rows = with_jurisdiction(endpoints(spark).groupBy("endpoint_id", "jurisdiction").agg(F.count("*").alias("hosts")), "jurisdiction")
+    return rows.select("endpoint_id", "hosts", "leaves_eea", F.row_number().over(Window.orderBy("leaves_eea", "endpoint_id")).alias("place"))
+
+
+def refusals(judged: DataFrame, *keys: str) -> DataFrame:
+    """Per key the number of upstreams and of those that are not permitted; a service may start only where none is."""
+    return judged.groupBy(*keys).agg(F.count("*").alias("upstreams"), F.count_if(~F.col("permitted")).alias("refused"))
+
+
+def controls_split(wanted: Column, settable: tuple[str, ...]) -> Column:
+    """``applied`` and ``manual``: the controls that a request field can set, and those left to people."""
+    known = F.array(*[F.lit(c) for c in settable])
+    return F.struct(F.filter(wanted, lambda c: F.array_contains(known, c)).alias("applied"), F.filter(wanted, lambda c: ~F.array_contains(known, c)).alias("manual"))
+
+
+def outgoing(mode: Column, original: Column, redacted: Column) -> Column:
+    """What leaves: the original where the mode only warns or allows, nothing where it blocks, else the redacted text."""
+    return F.when(mode == "block", F.lit(None).cast("string")).when(mode.isin("warn", "allow"), original).otherwise(redacted)

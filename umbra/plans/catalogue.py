@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from umbra.plans import detection, governance, identifiers, texts
+from umbra.plans import detection, governance, identifiers, requests, texts
 
-_MODULES = [detection, governance, identifiers, texts]
+_MODULES = [detection, governance, identifiers, requests, texts]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -108,14 +108,13 @@ select doc_id, case when solid < 16 then 'too few characters' when pages is not
 
 @query
 def probe_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding windows of 240 characters, 120 apart, of documents under 2,000 characters only, with their address signs; ``hidden_identifiers`` reads all documents."""
-    rows = table(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(120))).alias("position"), "text")
-    window = F.substring("text", F.col("position") + 1, F.lit(240))
-    return rows.select("doc_id", "position", F.char_length(F.regexp_replace(window, "[ \t]", "")).alias("closed_chars"), F.regexp_count(window, F.lit("@")).alias("signs"))
+    """Sliding windows of 240 characters, 120 apart, of all documents, with their address signs."""
+    rows = probe.windows(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
+    return rows.select("doc_id", "position", F.char_length(F.regexp_replace("open", "[ \t]", "")).alias("closed_chars"), F.regexp_count("open", F.lit("@")).alias("signs"))
 
 
 ORACLES["probe_windows"] = r"""
-with w as (select doc_id, unnest(range(0, greatest(length(text), 1)::int, 120))::int as position, text from documents where n_chars < 2000)
+with w as (select doc_id, unnest(range(0, greatest(length(text), 1)::int, 120))::int as position, text from documents where text is not null)
 select doc_id, position, length(regexp_replace(substr(text, position + 1, 240), '[ \t]', '', 'g'))::int as closed_chars, len(regexp_extract_all(substr(text, position + 1, 240), '@'))::int as signs from w
 """
 

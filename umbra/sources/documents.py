@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Characters of an extracted attachment that are kept; a longer one says so in ``truncated``.
 MAX_CHARS = 200_000
 ZIP_ENTRIES, ZIP_ENTRY_BYTES, ZIP_TOTAL_BYTES = 2048, 16 << 20, 64 << 20
 
@@ -94,7 +95,7 @@ def from_html(page: str | None) -> str:
     parser.feed(page or "")
     parser.close()
     text = re.sub(r" *\n *", "\n", re.sub(r"[ ]{2,}", " ", "".join(parser.out)))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()[:MAX_CHARS]
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
 def html_text(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -117,7 +118,7 @@ def from_plain(content: bytes) -> str:
             text = content.decode("utf-8-sig")
         except UnicodeDecodeError:
             text = content.decode("cp1252", "replace")
-    return text.replace("\r\n", "\n").replace("\r", "\n").rstrip("\0")[:MAX_CHARS]
+    return text.replace("\r\n", "\n").replace("\r", "\n").rstrip("\0")
 
 
 def from_mail(content: bytes) -> str:
@@ -127,7 +128,7 @@ def from_mail(content: bytes) -> str:
     if body is not None:
         text = body.get_content()
         lines += ["", from_html(text) if body.get_content_subtype() == "html" else text]
-    return "\n".join(lines).strip()[:MAX_CHARS]
+    return "\n".join(lines).strip()
 
 
 _RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\u(-?[0-9]{1,6}) ?\??|\\([a-z]{1,32})(-?[0-9]{1,10})? ?|\\([^a-z])|([{}])|([^\\{}]+)", re.S)
@@ -160,7 +161,7 @@ def from_rtf(content: bytes) -> str:
             out.append(symbol)
         elif plain:
             out.append(plain.replace("\r", "").replace("\n", ""))
-    return "".join(out).strip()[:MAX_CHARS]
+    return "".join(out).strip()
 
 
 # parts with text and the tags that end a line, by kind of package
@@ -185,22 +186,59 @@ def from_office(content: bytes) -> str:
                 import html
 
                 out.append(html.unescape(re.sub(r"<[^>]*>", "", xml)))
-    return "".join(out).strip()[:MAX_CHARS]
+    return "".join(out).strip()
 
 
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {"zip": from_office, "eml": from_mail, "html": lambda b: from_html(from_plain(b)), "rtf": from_rtf, "text": from_plain}
-RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())])
+RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("truncated", T.BooleanType())])
 
 
-def extracted(df: DataFrame, content: str = "content") -> DataFrame:
-    """Adds ``format`` and ``extracted`` (ok, text, reason) to rows with bytes."""
+def extract(data: bytes | None, kind: str | None, most: int | None = MAX_CHARS) -> dict[str, object]:
+    """``ok, text, reason, truncated`` of one payload; ``most``: characters kept (None: all)."""
+    if data is None or kind not in EXTRACTORS:
+        return {"ok": False, "text": None, "reason": f"no extractor for {kind}", "truncated": False}
+    try:
+        text = EXTRACTORS[kind](bytes(data))
+    except (ValueError, zipfile.BadZipFile, KeyError, LookupError) as error:
+        return {"ok": False, "text": None, "reason": str(error)[:200], "truncated": False}
+    return {"ok": True, "text": text[:most], "reason": None, "truncated": most is not None and len(text) > most}
+
+
+def extracted(df: DataFrame, content: str = "content", most: int | None = MAX_CHARS) -> DataFrame:
+    """Adds ``format`` and ``extracted`` (ok, text, reason, truncated) to rows with bytes."""
+
+    def run(data: pa.Array, kinds: pa.Array) -> pa.Array:
+        rows = [extract(d.as_py(), k.as_py(), most) for d, k in zip(data, kinds)]
+        return pa.array(rows, pa.struct([("ok", pa.bool_()), ("text", pa.string()), ("reason", pa.string()), ("truncated", pa.bool_())]))
+
+    return df.withColumn("format", sniffed(F.col(content))).withColumn("extracted", F.arrow_udf(run, RESULT)(F.col(content), F.col("format")))
+
+
+_OBJECT = re.compile(rb"/Type\s*/Page(?![A-Za-z])")
+_COUNT = re.compile(rb"/Count\s+([0-9]{1,7})")
+#: Bytes of a document's head and tail that the probe reads.
+PROBED_BYTES = 2 << 20
+
+
+def pdf_probe(content: bytes | None) -> dict[str, object] | None:
+    """``version, pages, encrypted, has_text`` of a PDF, from its head and tail; none for other content."""
+    if content is None or b"%PDF-" not in content[:1024]:
+        return None
+    part = content if len(content) <= 2 * PROBED_BYTES else content[:PROBED_BYTES] + content[-PROBED_BYTES:]
+    version = re.search(rb"%PDF-([0-9]\.[0-9])", content[:1024])
+    roots = [n for n in map(int, _COUNT.findall(part)) if n > 0]
+    pages = min(roots) if roots and b"/Pages" in part else len(_OBJECT.findall(part)) or None
+    return {"version": version[1].decode() if version else None, "pages": pages, "encrypted": b"/Encrypt" in part, "has_text": b"/Font" in part or b"BT" in part and b"Tj" in part}
+
+
+# fixed values: media types of the formats
+MEDIA_TYPES = {
+    "pdf": "application/pdf", "rtf": "application/rtf", "html": "text/html", "eml": "message/rfc822", "text": "text/plain", "png": "image/png", "jpeg": "image/jpeg", "gif": "image/gif",
+    "tiff": "image/tiff", "webp": "image/webp", "bmp": "image/bmp", "zip": "application/zip",
+}
 
-    def one(data: bytes | None, kind: str | None) -> dict[str, object]:
-        if data is None or kind not in EXTRACTORS:
-            return {"ok": False, "text": None, "reason": f"no extractor for {kind}"}
-        try:
-            return {"ok": True, "text": EXTRACTORS[kind](bytes(data)), "reason": None}
-        except (ValueError, zipfile.BadZipFile, KeyError, LookupError) as error:
-            return {"ok": False, "text": None, "reason": str(error)[:200]}
 
-    return df.withColumn("format", sniffed(F.col(content))).withColumn("extracted", F.udf(one, RESULT)(F.col(content), F.col("format")))
+def media_type(declared: Column) -> Column:
+    """A media type without parameters in lower case; null if it is none or longer than 128 characters."""
+    bare = F.lower(F.trim(F.substring_index(declared, ";", 1)))
+    return F.when(F.rlike(bare, F.lit(r"^[a-z0-9][a-z0-9!#$&^_.+-]{0,126}/[a-z0-9][a-z0-9!#$&^_.+-]{0,126}$")) & (F.char_length(bare) <= 128), bare)
