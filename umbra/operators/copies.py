@@ -54,8 +54,12 @@ class Copy:
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U000e0000-\U000e0fff]+")
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
+_ALIKE = re.compile(f"[{re.escape(''.join(CONFUSABLES))}]")
+_DIGITS = re.compile("[0-9]+")
+#: Characters on each side of digits in which a chain or a word with them lies.
+MARGIN = 160
 _SPACED = re.compile(r"(?<!\S)(?:\w ){3,}\w(?!\S)")
-_CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
+_CAMEL = re.compile(r"[a-zà-öø-ÿ][A-ZÀ-ÖØ-Þ]")
 _TOKEN = re.compile(r"\S+")
 _LEET_WORD = re.compile(r"(?<![\w@.])(?=\w*[0134578]\w*)(?=(?:\w*[^\W\d_]){3})\w+(?![\w@])")
 # fixed values: digits that stand for letters; letters with a stroke
@@ -85,10 +89,19 @@ def _unicode(text: str) -> Iterator[Edit]:
 
 
 def _confusable(text: str) -> Iterator[Edit]:
-    for m in _FOREIGN.finditer(text):
-        for i in range(m.start(), m.end()):
-            if text[i] in CONFUSABLES:
-                yield i, i + 1, CONFUSABLES[text[i]]
+    for m in _ALIKE.finditer(text):
+        yield m.start(), m.end(), CONFUSABLES[m[0]]
+
+
+def around_digits(text: str, margin: int) -> list[tuple[int, int]]:
+    """The parts of a text around its digits."""
+    out: list[list[int]] = []
+    for m in _DIGITS.finditer(text):
+        if out and m.start() - margin <= out[-1][1]:
+            out[-1][1] = m.end() + margin
+        else:
+            out.append([m.start() - margin, m.end() + margin])
+    return [(max(0, a), min(len(text), b)) for a, b in out]
 
 
 def _unmarked(c: str) -> str:
@@ -112,11 +125,11 @@ def _spaced(text: str) -> Iterator[Edit]:
 
 def _camel(text: str) -> Iterator[Edit]:
     for m in _CAMEL.finditer(text):
-        yield m.start(), m.start(), " "
+        yield m.start() + 1, m.start() + 1, " "
 
 
 def _leet(text: str) -> Iterator[Edit]:
-    for m in _LEET_WORD.finditer(text):
+    for m in (m for lo, hi in around_digits(text, MARGIN) for m in _LEET_WORD.finditer(text, lo, hi)):
         word = m[0]
         digits = sum(c.isdigit() for c in word)
         if digits and 2 * digits <= sum(c.isalpha() for c in word):
@@ -128,7 +141,7 @@ def _leet(text: str) -> Iterator[Edit]:
 
 def _chains(close: bool) -> Callable[[str], Iterator[Edit]]:
     def edits(text: str) -> Iterator[Edit]:
-        for m in _CHAIN.finditer(text):
+        for m in (m for lo, hi in around_digits(text, MARGIN) for m in _CHAIN.finditer(text, lo, hi)):
             run = m[0]
             groups = re.findall(r"[0-9A-Za-z]+", run)
             size, digits = sum(map(len, groups)), sum(c.isdigit() for c in run)
@@ -182,7 +195,8 @@ _PROFILES = [_confusable, _addresses, _spaced, _camel, _leet, _chains(False), _c
 
 def copies(text: str) -> Iterator[Copy]:
     """The changed copies of a text, each content once."""
-    edits = [] if text.isascii() else list(_unicode(text))
+    plain = text.isascii() or unicodedata.is_normalized("NFKC", text) and not _INVISIBLE.search(text)
+    edits = [] if plain else list(_unicode(text))
     base = Copy(text, edits)
     seen = {text}
     if base.text not in seen:

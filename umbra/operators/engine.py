@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import accounts, numbers
 from umbra.functions.checks import IBAN_LENGTHS
-from umbra.operators.copies import copies
+from umbra.operators.copies import around_digits, copies
 from umbra.operators.detect import CLEARING, CUSTOM_PRIORITY, DICTIONARY_PRIORITY, LABELS, PRIORITY, SESSION_NAMES, SPAN
 from umbra.operators.labels import near
 
@@ -157,13 +157,15 @@ _REGISTER = re.compile(r"(?<!\w)HR[AB][  .-]?[0-9]{1,6}(?: ?[A-Z](?!\w))?(?!\w)
 _LICENCE = re.compile(r"(?<!\w)(?:[A-Z0-9]{11}|[A-Z0-9]{3,5}[ -][A-Z0-9]{3,6}(?:[ -][A-Z0-9]{3,5})?)(?!\w)")
 _V4 = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])")
 _V6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f:.]{0,20}")
-_MAC = re.compile(r"(?<![\w:-])(?:[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4})(?![\w:-])")
+_MAC = re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?![\w:-])")
+_DOTTED_MAC = re.compile(r"(?<![\w.])[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}(?!\w|\.[0-9A-Fa-f])")
 _BARE_MAC = re.compile(r"(?<!\w)(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{12}(?!\w)")
 _BIRTH = re.compile(r"(?<![\w.-])(?:([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})|([0-9]{4})-([0-9]{2})-([0-9]{2}))(?![\w-]|\.[0-9])")
 _STEUER = re.compile(r"(?<![\w/])(?:[0-9]{2}/[0-9]{3}/[0-9]{5}|[0-9]{3}/[0-9]{3}/[0-9]{5}|[0-9]{3}/[0-9]{4}/[0-9]{4}|[0-9]{5}/[0-9]{5})(?![\w/])")
 _STEUER_ANY = re.compile(r"(?<![\w/])[0-9]{2,13}(?:[ /-][0-9]{2,8}){0,4}(?![\w/])")
 _ICD = re.compile(r"(?<![\w.])[A-TV-Z][0-9]{2}(?:\.[0-9]{1,2})?[GVZA]?(?!\w|\.[0-9])")
 _BIC = re.compile(r"(?<!\w)(?:[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?|[A-Z]{4} [A-Z]{2} [A-Z0-9]{2}(?: [A-Z0-9]{3})?)(?!\w)")
+_UPPER = re.compile("[A-Z]{4}")
 _SERIAL = re.compile(r"(?<!\w)([CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZOI]{8})([0-9])?(?!\w)")
 _PLATE = re.compile(r"(?<![\w-])([A-ZÄÖÜ]{1,3})([ -])([A-Z]{1,2})[ -]?([1-9][0-9]{0,3})[EH]?(?![\w-])")
 _POSTCODE = re.compile(r"(?<!\w)(DE?-)?([0-9]{5})(?!\w)")
@@ -184,6 +186,11 @@ def _matches(pattern: re.Pattern[str], check: Callable[[str, str, int, int], boo
     return find
 
 
+def _macs(text: str, lo: int, hi: int, o: Options) -> Iterator[Range]:
+    if text.count(":") >= 5 or text.count("-") >= 5:
+        yield from (m.span() for m in _MAC.finditer(text))
+
+
 def _births(text: str, lo: int, hi: int, o: Options) -> Iterator[Range]:
     for m in _BIRTH.finditer(text, lo, hi):
         y, mo, d = (int(x) for x in ((m[3], m[2], m[1]) if m[1] else (m[4], m[5], m[6])))
@@ -208,7 +215,7 @@ def _icds(text: str, lo: int, hi: int, o: Options) -> Iterator[Range]:
 
 
 def _bics(text: str, lo: int, hi: int, o: Options) -> Iterator[Range]:
-    for m in _BIC.finditer(text, lo, hi):
+    for m in _BIC.finditer(text, lo, hi) if _UPPER.search(text) else ():
         code = m[0].replace(" ", "")
         written = " " in m[0] or any(c.isdigit() for c in code[6:])
         if code[4:6] in HOME and written or code[4:6] in COUNTRIES and near(text, *m.span(), LABELS["bic"], 16):
@@ -606,7 +613,8 @@ RULES: list[Rule] = [
     Rule("driver-licence", "DRIVER_LICENCE_ID", _matches(_LICENCE, lambda v, *_: len(_compact(v)) == 11 and bool(re.search("[A-Z]", v)) and bool(re.search("[0-9]", v)), LABELS["licence"]), digits=True),
     Rule("bank-account", "BANK_ACCOUNT", _bank_accounts, digits=True),
     Rule("ipv4", "IPV4", _matches(_V4, lambda v, *_: numbers.ipv4(v)), (".",), True),
-    Rule("mac", "MAC", _matches(_MAC), (":", "-", ".")),
+    Rule("mac", "MAC", _macs),
+    Rule("mac", "MAC", _matches(_DOTTED_MAC), (".",), True),
     Rule("mac-labelled", "MAC", _matches(_BARE_MAC, None, LABELS["mac"]), digits=True),
     Rule("bic", "BIC", _bics),
     Rule("postal-address", "POSTAL_ADDRESS", _matches(_STRONG), digits=True),
@@ -616,23 +624,9 @@ RULES: list[Rule] = [
     Rule("vehicle-plate", "VEHICLE_PLATE", _plates, digits=True),
     Rule("postcode", "POSTCODE", _postcodes, digits=True),
 ]
-_DIGITS = re.compile("[0-9]+")
-
-
-def _stretches(text: str) -> list[Range]:
-    """The parts of a text around its digits."""
-    out: list[list[int]] = []
-    for m in _DIGITS.finditer(text):
-        if out and m.start() - MARGIN <= out[-1][1]:
-            out[-1][1] = m.end() + MARGIN
-        else:
-            out.append([m.start() - MARGIN, m.end() + MARGIN])
-    return [(max(0, a), min(len(text), b)) for a, b in out]
-
-
 def candidates(text: str, options: Options) -> Iterator[Span]:
     """All spans of all detectors in one text, overlaps included."""
-    parts = _stretches(text)
+    parts = around_digits(text, MARGIN)
     for rule in RULES:
         if options.detectors is not None and rule.name not in options.detectors or rule.needles and not any(n in text for n in rule.needles):
             continue
