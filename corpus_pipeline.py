@@ -13,7 +13,7 @@ from umbra.llm.textio import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted of lines of their own go."""
+    """Documents that fail the base rules or are depleted of lines of their own go; frequent lines are taken out of the others."""
     return quality.keep_good(docs)
 
 
