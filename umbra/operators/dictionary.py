@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.text import fold_for_compare
+from umbra.operators import near
 
 MIN_FUZZY = 6
 MAX_GAP = 3
@@ -54,8 +55,9 @@ def near_hits(df: DataFrame, key: str, text: str, terms: DataFrame, term: str =
     meet the terms with single spaces between words.  Terms of two words also match swapped,
     and, without edits, with the first word as an initial; so do terms under six letters.
 
-    An edit leaves the first or the last letter alone, so words and terms meet on either
-    with the length; distinct words are compared, not occurrences.
+    Runs of several words: up to ``BROADCAST_TERMS`` spellings go to the workers, which read
+    each text once.  Else an edit leaves the first or the last letter alone, so words and
+    terms meet on either with the length; distinct words are compared, not occurrences.
     """
     folded = fold_for_compare(F.col(term))
     if longest == 1:
@@ -63,6 +65,9 @@ def near_hits(df: DataFrame, key: str, text: str, terms: DataFrame, term: str =
         found = F.transform(_tokens(F.col(text)), fold_for_compare)
     else:
         wanted = _forms(terms.select(F.col(term).alias("term"))).distinct()
+        forms = wanted.take(BROADCAST_TERMS + 1)
+        if 0 < len(forms) <= BROADCAST_TERMS:
+            return near.hits(df, key, text, tuple(sorted(tuple(f) for f in forms)), longest, MAX_GAP)
         found = _near_runs(F.col("folded"), F.col("gaps"), longest)
         df = df.select(key, F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), fold_for_compare).alias("folded"), F.transform(F.split(text, WORD, -1), F.char_length).alias("gaps"))
     least, most = wanted.agg(F.min(F.length("folded")), F.max(F.length("folded"))).first()
