@@ -1,5 +1,6 @@
 """Queries over small tables of odd rows, against known values."""
 
+import datetime
 import random
 import re
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.text import fold_for_compare
 from umbra.operators import dictionary, near
-from umbra.plans import detection
+from umbra.plans import detection, governance
 
 TEXTS = ["Des +1 (826) 555-4081 190.137.223.204 du", "of nt 0054994038693466 the", "+1 (082) 555-4081(212) 555-0123", "212-555-0123@x.de", "x212-555-0123 and 212-555-01234", "+49 (0) 721 123456", None, ""]
 
@@ -77,3 +78,17 @@ def test_near_folds_like_the_column(spark):
     words = ["Straße", "ÀÉñÿ", "ΟΔΟΣ", "İx", "a1²½", "中文", "é"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", fold_for_compare(F.col("w")).alias("f")).collect()
     assert {r.w: r.f for r in rows} == {w: near.fold(w) for w in words}
+
+
+def events(spark, sf_dir, rows):
+    """A table of events from (event_id, microseconds since 1970)."""
+    rows = [(i, datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=us), 5, "view", 1.0, "{}") for i, us in rows]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{sf_dir}/events.parquet")
+
+
+def test_quota_rpm_demand(spark, tmp_path):
+    """Times are the nearest milliseconds, as in the SQL: 1 and 60,000 are in one window."""
+    events(spark, str(tmp_path), [(1, 600), (2, 60_000_400), (3, -500), (4, -499), (5, 1_500), (6, 999_499)])
+    got = {r.event_id: r.in_window for r in governance.quota_rpm_demand(spark, str(tmp_path)).collect()}
+    assert got == {3: 1, 4: 2, 1: 3, 5: 4, 6: 5, 2: 4}
+    assert [r.at_ms for r in governance.records(spark, str(tmp_path)).orderBy("event_id").collect()] == [1, 60_000, -1, 0, 2, 999]
