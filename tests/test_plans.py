@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.text import fold_for_compare
 from umbra.operators import dictionary, near
-from umbra.plans import detection, governance
+from umbra.plans import detection, governance, requests
 
 TEXTS = ["Des +1 (826) 555-4081 190.137.223.204 du", "of nt 0054994038693466 the", "+1 (082) 555-4081(212) 555-0123", "212-555-0123@x.de", "x212-555-0123 and 212-555-01234", "+49 (0) 721 123456", None, ""]
 
@@ -92,3 +92,9 @@ def test_quota_rpm_demand(spark, tmp_path):
     got = {r.event_id: r.in_window for r in governance.quota_rpm_demand(spark, str(tmp_path)).collect()}
     assert got == {3: 1, 4: 2, 1: 3, 5: 4, 6: 5, 2: 4}
     assert [r.at_ms for r in governance.records(spark, str(tmp_path)).orderBy("event_id").collect()] == [1, 60_000, -1, 0, 2, 999]
+
+
+def test_warnings_throttled(spark, tmp_path):
+    """A warning half a millisecond before the minute is the first of the next one."""
+    events(spark, str(tmp_path), [(17, 10_000_000), (34, 59_999_600), (51, 60_000_000), (68, 59_999_400), (1, 0)])
+    assert [tuple(r) for r in requests.warnings_throttled(spark, str(tmp_path)).select("status", "n", "ids").collect()] == [(403, 2, 51)]
